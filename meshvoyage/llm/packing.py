@@ -24,14 +24,16 @@ from tokenizers import Tokenizer
 
 from .storage import materialize
 
-#: Entries of a worker's word caches; older ones go when a half is full.
-CHUNKS, WORDS = 300_000, 400_000
-LONGEST = 64  # code points of a cached chunk
+#: Entries of a worker's word cache; older ones go when a half is full.
+WORDS = 1_200_000
+LONGEST = 64  # code points of a cached word
+#: Marks that follow words; the apostrophe is none, as contractions begin with it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OWN: dict[str, "WordTokenizer"] = {}
 
 
 class _Cache(dict):
-    """Two generations: what is not used while the younger fills is forgotten."""
+    """Ids by word, in two generations: what is not used while the younger fills is forgotten."""
 
     def __init__(self, make, size: int):
         super().__init__()
@@ -40,6 +42,9 @@ class _Cache(dict):
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
+            core = key.rstrip(MARKS)
+            if core and len(core) < len(key) and core.isalpha():
+                return self[core] + self[key[len(core) :]]  # a word and marks: each has its entry
             value = self.make(key)
         if len(key) <= LONGEST:
             if len(self) >= self.size:
@@ -53,9 +58,9 @@ class WordTokenizer:
     """Ids of a BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
     Files whose pre-tokenizer drops white space (the normalizer NFC, white space to
-    spaces, lower case) are encoded chunk by chunk with caches, for BPE never looks
-    across white space; any other file is encoded whole.  Special tokens' strings
-    within a text are ordinary text.
+    spaces, lower case) are encoded word by word with a cache, for their BPE never
+    looks across white space; any other file is encoded whole.  Special tokens'
+    strings within a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -66,31 +71,24 @@ class WordTokenizer:
         self.whole.encode_special_tokens = True
         steps = [x.get("type") for x in ((spec.get("normalizer") or {}).get("normalizers") or [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        split = pre[0].get("pattern", {}).get("Regex") if pre[0].get("type") == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed" else None
-        self.split = regex.compile(split) if split and steps == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and spec["model"]["type"] == "BPE" else None
-        if self.split:
-            self.model = self.whole.model
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            hidden = [b for b in range(256) if b not in shown]
-            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-            self.words = _Cache(self._word, WORDS)
-            self.chunks = _Cache(self._chunk, CHUNKS)
-
-    def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split.findall(chunk)))
+        drops = pre[0].get("type") == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and r"\s" in pre[0]["pattern"].get("Regex", "")
+        self.by_word = bool(drops) and steps == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE"
+        if self.by_word:
+            self.model, self.pre = self.whole.model, self.whole.pre_tokenizer
+            self.words = _Cache(self._encode, WORDS)
+
+    def _encode(self, chunk: str) -> bytes:
+        words = [chunk] if chunk.isascii() and chunk.isalpha() else [w for w, _ in self.pre.pre_tokenize_str(chunk)]
+        return np.array([t.id for w in words for t in self.model.tokenize(w)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.split is None:
+        if not self.by_word:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         text = text.lower()
         chunks = text.split() if not _SEPARATORS.search(text) else regex.split(r"\p{White_Space}+", text)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        return b"".join(map(self.words.__getitem__, chunks))
 
 
 #: str.split() takes these for white space, Unicode does not.
