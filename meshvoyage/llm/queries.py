@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, langid, linededup, packing
+from . import chat, decontam, dedup, jaccard, langid, linededup, packing, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+#: An extra conversation whose texts hold marks of common templates.
+MARKED = r"\### Assistant: </turn> ok"
+
+#: The rules that op7 applies.
+RULES = [
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+]
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], turns.schema)
+    return chat.read_back(chat.format_windows(turns.union(extra)))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -43,9 +66,44 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_exact_dedup, op3_language_id, op4_packing, op9_line_dedup, op10_jaccard_join)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_exact_dedup, op3_language_id, op4_packing, op5_chat_format, op7_url_filter, op9_line_dedup, op10_jaccard_join)}
 
 ORACLES = {
+    "op5_chat_format": r"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+                   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+             n AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]')) + 3 AS n,
+                          16 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+                             + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS chars,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS seq FROM r),
+             b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                          first_value(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id ORDER BY seq) AS sys_n,
+                          first_value(chars) OVER (PARTITION BY conv_id ORDER BY seq) AS sys_chars FROM n),
+             s AS (SELECT *, CAST(floor(before * 3.0 / (greatest(2048 - 256 - coalesce(sys_n, 0), 3) * 2)) AS BIGINT) AS span FROM b),
+             f AS (SELECT *, lag(span) OVER (PARTITION BY conv_id ORDER BY seq) IS DISTINCT FROM span AS starts FROM s),
+             l AS (SELECT *, min(CASE WHEN starts THEN before END) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM f)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars + CASE WHEN later - before <= 256 AND NOT (seq = 1 AND sys_n IS NOT NULL) THEN chars ELSE 0 END
+                              + CASE WHEN starts AND seq > 1 AND sys_n IS NOT NULL THEN sys_chars ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM l GROUP BY conv_id""",
+    "op7_url_filter": r"""
+        WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             p AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+             rules(verdict, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+             best AS (SELECT page_id, max_by(h || s, length(h || s)) AS rule, max_by(verdict, length(h || s)) AS verdict
+                      FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id),
+             link AS (SELECT regexp_replace(url, '#.*', '') AS a,
+                             regexp_replace(regexp_extract(html, '(?i)<link rel="canonical" href="([^"]+)"', 1), '#.*', '') AS b FROM p),
+             edge AS (SELECT a, b FROM link WHERE b <> '' UNION SELECT b, a FROM link WHERE b <> ''),
+             alias AS (SELECT a, b FROM edge UNION SELECT alias.a, edge.b FROM alias JOIN edge ON alias.b = edge.a),
+             ruled AS (SELECT regexp_replace(p.url, '#.*', '') AS node, best.verdict FROM p JOIN best USING (page_id)),
+             said AS (SELECT alias.a AS node, min(ruled.verdict) AS verdict FROM alias JOIN ruled ON alias.b = ruled.node GROUP BY alias.a)
+        SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, said.verdict, 'allow') AS verdict
+        FROM p LEFT JOIN best USING (page_id) LEFT JOIN said ON regexp_replace(p.url, '#.*', '') = said.node""",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
