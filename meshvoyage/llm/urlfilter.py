@@ -113,7 +113,7 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         .when(F.startswith(t, F.lit("?")), F.concat(scheme, F.lit("://"), host, path, t))
         .when(~F.startswith(t, F.lit("#")), F.concat(scheme, F.lit("://"), host, folder, t))
     )
-    return rows.select(_node(u).alias("a"), _node(whole).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    return rows.select("_u", whole.alias("_whole")).select(_node(u).alias("a"), _node(F.col("_whole")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -128,8 +128,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     """
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.union(redirects.select(_node(F.col("a")), _node(F.col("b"))).where("a IS NOT NULL AND b IS NOT NULL"))
-    edges = materialize(edges.distinct(), "aliases")
+        edges = edges.union(redirects.select(_node(F.col("a")), _node(F.col("b"))))
+    edges = materialize(edges.distinct(), "aliases").where("a <> b")
     others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     plain = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(url_col).alias("_u"))
     ruled = with_rule(plain.withColumns({"_host": host_of(F.col("_u")), "_path": path_of(F.col("_u"))}), rules, "_host", "_path")
