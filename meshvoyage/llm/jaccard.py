@@ -32,7 +32,7 @@ SPREAD = 2.0  # largest size of a band over its smallest
 SLACK = 0.06  # more segments than needed, by this share of them and three
 #: For the choice of allocation: the share of shingles taken to be common to many
 #: documents, and the cost of a candidate pair in signature rows.
-COMMON, PAIR_COST = 0.15, 4.0
+COMMON, PAIR_COST = 0.02, 4.0
 SKETCH = 1024  # bits of the parity sketch
 BLOCK = 2048  # members of a group that one task compares with as many others
 _MULT = np.uint64(0x9E3779B97F4A7C55)
@@ -82,7 +82,7 @@ def allocate(span: tuple[int, int], sets: int, threshold: Fraction) -> tuple[str
     def cost(segments: int, rows: float, shortest: float) -> float:
         return sets * rows + PAIR_COST * sets * sets * segments * COMMON ** max(1.0, shortest)
 
-    if need > 1 and cost(halved, halved + mean, mean / halved - 1) < cost(need, need, mean / exact):
+    if need > 1 and cost(halved, halved + mean, mean / halved - 1) < cost(need, need, mean / need):
         return "deletion", halved
     return "exact", exact
 
@@ -145,16 +145,28 @@ def _emit(n: int, plans: list, threshold: Fraction, buckets: int):
                 continue
             sig, rep, doc = _starred(np.concatenate(sigs), np.concatenate(docs))
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((doc, bucket))  # ids in order compress well
             sig, rep, doc, bucket = sig[order], rep[order], doc[order], bucket[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             parts = [(int(bucket[x]), sig[x:y], rep[x:y], doc[x:y]) for x, y in zip(at, np.r_[at[1:], len(sig)], strict=True)]
-            rows = [(b, s.tobytes(), d.tobytes(), np.packbits(r != d).tobytes() + r[r != d].tobytes()) for b, s, r, d in parts]
+            rows = [(b, s.tobytes(), _narrow(d), np.packbits(r != d).tobytes() + r[r != d].tobytes()) for b, s, r, d in parts]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32())] + [pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)], ["bucket", "sigs", "docs", "reps"])
 
     return run
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in 32 bits above their smallest where that is enough, after that smallest; else in 64 bits."""
+    base = ids.min()
+    wide = int(ids.max()) - int(base) >= 1 << 32
+    return base.tobytes() + (ids.tobytes() if wide else (ids - base).astype("<u4").tobytes())
+
+
+def _widened(packed: bytes, n: int) -> np.ndarray:
+    base = np.frombuffer(packed[:8], np.int64)[0]
+    return np.frombuffer(packed, np.int64, offset=8) if len(packed) == 8 + 8 * n else np.frombuffer(packed, "<u4", offset=8).astype(np.int64) + base
+
+
 def _starred(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, representative, member), one row for each distinct pair; the smallest id represents."""
     order = np.lexsort((doc, sig))
@@ -170,7 +182,8 @@ def _group(batches):
     sigs, docs, local = [], [], []
     for batch in batches:
         for s, d, r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            s, d = np.frombuffer(s, np.uint64), np.frombuffer(d, np.int64)
+            s = np.frombuffer(s, np.uint64)
+            d = _widened(d, len(s))
             head = -(-len(s) // 8)
             other = np.unpackbits(np.frombuffer(r[:head], np.uint8), count=len(s)).astype(bool)
             local.append((s[other], np.frombuffer(r[head:], np.int64), d[other]))

@@ -118,11 +118,11 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _cut(window: int, bases, digests: bool):
+def _cut(window: int, bases, ids_wanted: bool, digests: bool):
     def run(batches):
         base = bases.value
         for batch in batches:
-            rows = {k: [] for k in ("_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+            rows = {k: [] for k in ("_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32")}
             for i, part, start, n, packed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 ids = packed if len(packed) == 4 * n else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
                 at, begun = base[part] + start, 0
@@ -130,23 +130,22 @@ def _cut(window: int, bases, digests: bool):
                     seq, offset = divmod(at + begun, window)
                     size = min(window - offset, n - begun)
                     piece = ids[4 * begun : 4 * (begun + size)]
-                    for k, v in (("_id", i), ("start", begun), ("length", size), ("ids", zlib.crc32(piece) if digests else piece), ("doc_tokens", n), ("sequence_id", seq), ("offset", offset)):
+                    for k, v in (("_id", i), ("start", begun), ("length", size), ("doc_tokens", n), ("sequence_id", seq), ("offset", offset), ("ids", piece if ids_wanted else None), ("ids_crc32", zlib.crc32(piece) if digests else None)):
                         rows[k].append(v)
                     begun += size
-            types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64() if digests else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            names = [("ids_crc32" if digests else "ids") if k == "ids" else k for k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names)
+            types = [batch.column(0).type, *[pa.int64()] * 5, pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], list(rows))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Pieces of the concatenated token stream: id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone.
     The stream is cut at every multiple of ``window``, so all sequences but the last
-    are full.  ``ids`` are little-endian unsigned 32-bit; with ``digests`` their CRC-32,
-    ids_crc32, takes their place.  Every input row is a
+    are full.  ``ids`` are little-endian unsigned 32-bit; ``digests`` adds
+    their CRC-32 as ids_crc32, and either can be left out.  Every input row is a
     document of its own, also with a null or repeated id; extra columns are ignored;
     an empty table gives no rows.
     """
@@ -158,6 +157,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     for part, n in totals.items():
         ends[part + 1] = n
     bases = docs.sparkSession.sparkContext.broadcast(np.cumsum(ends).tolist())
-    made = "ids_crc32 bigint" if digests else "ids binary"
-    pieces = stored.mapInArrow(_cut(window, bases, digests), f"_id {kind}, start bigint, length bigint, {made}, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return pieces.withColumnRenamed("_id", id_col)
+    schema = f"_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, ids_crc32 bigint"
+    pieces = stored.mapInArrow(_cut(window, bases, ids, digests), schema).withColumnRenamed("_id", id_col)
+    return pieces.drop(*[c for c, wanted in (("ids", ids), ("ids_crc32", digests)) if not wanted])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, jaccard, langid, linededup, packing, urlfilter
+from . import chat, decontam, dedup, htmltext, jaccard, langid, linededup, packing, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), ids=False, digests=True)
 
 
 #: An extra conversation whose texts hold marks of common templates.
@@ -53,10 +53,22 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.union(extra)))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses_of(_read(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").cast("bigint").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        "content_length", "block_digest", "payload_digest", F.decode("block", "UTF-8").alias("block"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -66,7 +78,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_exact_dedup, op3_language_id, op4_packing, op5_chat_format, op7_url_filter, op9_line_dedup, op10_jaccard_join)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_exact_dedup, op3_language_id, op4_packing, op5_chat_format, op6_warc_derivatives, op7_url_filter, op8_html_text, op9_line_dedup, op10_jaccard_join)}
 
 ORACLES = {
     "op5_chat_format": r"""
