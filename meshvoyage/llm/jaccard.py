@@ -248,24 +248,32 @@ def _verify(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int):
-    """Pairs of different components within groups that arrive sorted by (sig, lo, hi)."""
+def _across(num: int, den: int, brief: bool):
+    """Pairs of different components within groups that arrive sorted by (sig, lo, hi).
 
-    def compare(g):
+    ``brief`` leaves one pair, the closest by the sketches, for each two components.
+    """
+
+    def compare(g) -> list[tuple]:
         doc, n, comp, block, sketch = g
-        lo_hi = np.unique(block)
-        first = np.flatnonzero(block == lo_hi[0])
-        second = np.flatnonzero(block == lo_hi[-1])
-        out = []
+        blocks = np.unique(block)
+        first, second = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1])
+        out, best = [], {}
         for i in first:
-            j = second[(comp[second] != comp[i]) & ((doc[second] > doc[i]) if len(lo_hi) == 1 else True)]
-            if len(j):
-                small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-                j = j[den * small >= num * large]
-                apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-                j = j[apart * (den + num) <= (n[j] + n[i]) * (den - num)]
-                out.extend((min(doc[i], x), max(doc[i], x)) for x in doc[j])
-        return out
+            j = second[(comp[second] != comp[i]) & ((doc[second] > doc[i]) if len(blocks) == 1 else True)]
+            small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+            j = j[den * small >= num * large]
+            if not len(j):
+                continue
+            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
+            fits = apart * (den + num) <= (n[j] + n[i]) * (den - num)
+            for k, far in zip(j[fits].tolist(), apart[fits].tolist(), strict=True):
+                row = (min(doc[i], doc[k]), max(doc[i], doc[k]), min(comp[i], comp[k]), max(comp[i], comp[k]), far)
+                if not brief:
+                    out.append(row)
+                elif row[2:4] not in best or best[row[2:4]][4] > far:
+                    best[row[2:4]] = row
+        return out or list(best.values())
 
     def run(batches):
         key, held = None, []
@@ -291,8 +299,8 @@ def _across(num: int, den: int):
 
 
 def _pairs(pairs: list) -> pa.RecordBatch:
-    both = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    rows = np.array(pairs, np.int64).reshape(-1, 5)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "ca", "cb", "apart"])
 
 
 class _Join:
@@ -335,19 +343,32 @@ class _Join:
         of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         open_ = materialize(stars.join(apart.select(F.col("a").alias("rep"), F.col("b").alias("doc")), ["rep", "doc"], "left_semi").select("sig").distinct(), "open")
-        rows = stars.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("rep", "doc")).alias("doc")).distinct()
+        rows = materialize(stars.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("rep", "doc")).alias("doc")).distinct(), "open-rows")
+        # First one pair for each two components that may touch; then all pairs of those still apart.
+        for brief in (True, False):
+            more = self.across(rows, comp, brief)
+            if more.isEmpty():
+                return comp
+            found = self.linked(more)
+            if not found.isEmpty():
+                links = links.union(found)
+                comp = connected_components(links)
+        return comp
+
+    def across(self, rows: DataFrame, comp: DataFrame, brief: bool) -> DataFrame:
+        """Pairs (a, b) in common groups whose members lie in different components, written."""
         rows = rows.join(comp, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-        rows = materialize(rows, "open-rows")
-        blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+        rows = materialize(rows, "open-components")
+        blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
         spread = rows.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         spread = spread.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "block")
         full = spread.join(self.table.where("id IS NOT NULL").select(F.col("id").alias("doc"), "n", "sketch"), "doc").select("sig", "lo", "hi", "doc", "n", "comp", "block", "sketch")
         sorted_ = full.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        more = materialize(sorted_.mapInArrow(_across(self.num, self.den), "a bigint, b bigint").distinct(), "more")
-        if more.isEmpty():
-            return comp
-        return connected_components(links.union(self.linked(more)))
+        pairs = sorted_.mapInArrow(_across(self.num, self.den, brief), "a bigint, b bigint, ca bigint, cb bigint, apart bigint")
+        if brief:
+            pairs = pairs.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        return materialize(pairs.select("a", "b").distinct(), "more")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
