@@ -25,7 +25,7 @@ from .config import RouteConfig, VesselConfig
 INF = float("inf")
 SHIP = VesselConfig("SDA", 26.5, "km/hr", 80.0, 10.0, beam=24.0, hull_type="slender", force_limit=96634.5, max_wave=8.0)
 GLIDER = VesselConfig("Slocum", 1.5, "km/hr", 80.0, 20.0)
-ROUTE = RouteConfig("traveltime", ("fuel", "traveltime"), ("uC", "vC"))
+ROUTE = RouteConfig("traveltime", ("fuel", "traveltime"), ("uC", "vC"), smoothing_max_iterations=100)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -254,11 +254,11 @@ def j03_adjust(spark, d):
 def _route_legs(spark, d):
     c = written(_even(cells(spark, d)), "cells")
     costs = written(paths.edge_costs(mesh.ordered(mesh.adjacency(c)), c), "costs")
-    # Four corners of the mesh, as far as it goes, to and from its middle.
+    # From the middle of the mesh, as far as it goes, to its corners, and along its south.
     last = c.agg(F.max(F.col("id").cast("bigint"))).first()[0]
     place = lambda k: (k % 20 * 0.2 + 0.1, k // 20 * 0.1 - 69.95, str(k))
     named = {"south west": 0, "south east": 19, "north west": last // 20 * 20, "north east": last, "middle": last // 2}
-    points = spark.createDataFrame([(n, *place(k), "X", "X") for n, k in named.items()], "Name string, Long double, Lat double, cell string, Source string, Destination string")
+    points = spark.createDataFrame([(n, *place(k), "X" if n in ("middle", "south west") else None, "X") for n, k in named.items()], "Name string, Long double, Lat double, cell string, Source string, Destination string")
     pairs = paths.route_pairs(points)
     hops = paths.shortest_paths(costs, pairs.select(F.col("from_cell").alias("source"), F.col("to_cell").alias("target")))
     return written(paths.route_legs(pairs, hops, costs, c), "legs"), costs, c
