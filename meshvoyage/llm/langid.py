@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -138,12 +139,13 @@ class _Rows(dict):
         return at
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
-def _predict(shared):
+def _predict(shared, key: str):
+    """``key`` names the model, so that a worker keeps the scorer between tasks but not between models."""
+
     def run(batches):
-        key = shared._jbid if getattr(shared, "_jbid", None) is not None else id(shared)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
@@ -170,6 +172,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).alias("_text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string, score double"])
-    scored = plain.mapInArrow(_predict(shared), schema)
+    scored = plain.mapInArrow(_predict(shared, uuid.uuid4().hex), schema)
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)]
     return scored.select(*back, held_out(F.col(f"c{others.index(id_col)}")).alias("held_out"), "lang_pred", "score")
