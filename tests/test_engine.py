@@ -3,6 +3,7 @@
 import heapq
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,36 @@ def test_one_hop_route_and_its_outputs(spark, tmp_path):
         plan_routes(bundle, points.withColumn("Lat", F.lit(9.0)), ROUTE)
 
 
+def scalar_newton(x, a, length, u1, v1, u2, v2, s1, s2):
+    """Steps, crossing and leg times of one edge."""
+    y, c1, c2 = length * x / (x + a), s1 * s1 - u1 * u1 - v1 * v1, s2 * s2 - u2 * u2 - v2 * v2
+    for n in range(1, 1001):
+        d1, d2 = x * u1 + y * v1, a * u2 + (length - y) * v2
+        x1, x2 = math.sqrt(d1 * d1 + c1 * (x * x + y * y)), math.sqrt(d2 * d2 + c2 * (a * a + (length - y) ** 2))
+        g1, g2 = (d1 * v1 + c1 * y) / x1, (-d2 * v2 - c2 * (length - y)) / x2
+        f = x2 * (y - v1 * (x1 - d1) / c1) + x1 * (y - length + v2 * (x2 - d2) / c2)
+        df = x1 + x2 + y * (g1 + g2) - v1 / c1 * (g2 * (x1 - d1) + x2 * (g1 - v1)) + v2 / c2 * (g1 * (x2 - d2) + x1 * (g2 + v2)) - length * g1
+        y -= f / df
+        if abs(f / df / (x1 * x2)) <= 1e-3:
+            return n, y, (x1 - d1) / c1, (x2 - d2) / c2
+    raise AssertionError("not settled")
+
+
+def test_slow_gliders_on_small_cells_settle(spark):
+    r, half, speed = random.Random(3), 0.001, 1.5 / 3.6
+    rows = []
+    for _ in range(300):
+        x, a, length = half * 111321.0 * r.uniform(0.5, 1.0), half * 111321.0 * r.uniform(0.5, 1.0), half * 111386.0 * r.uniform(-1.0, 1.0)
+        rows.append((x, a, length, *[r.uniform(-0.2, 0.2) for _ in range(4)], speed, speed))
+    expected = [scalar_newton(*row) for row in rows]
+    assert sum(n > 2 for n, *_ in expected) > 30
+    names = ("_x", "_a", "_len", "_u1", "_v1", "_u2", "_v2", "_s1", "_s2")
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(rows)], "i int, " + ", ".join(f"{n} double" for n in names))
+    got = travel.with_newton(df).orderBy("i").collect()
+    for g, (_, y, t1, t2) in zip(got, expected, strict=True):
+        assert (g._y, g._t1, g._t2) == pytest.approx((y, t1, t2), rel=1e-9, abs=1e-9)
+
+
 def test_shortest_paths_match_brute_force(spark, monkeypatch):
     cells = even(synthetic.regular_cells(spark, 3, 3, 0.0, 50.0, 2.0, 1.0)).withColumns({"uC": (F.col("id").cast("int") % 3 - 1) * 0.5, "vC": (F.col("id").cast("int") % 4 - 1) * 0.4})
     cells = written(cells, "cells")
