@@ -97,8 +97,10 @@ def _rendered(windows: DataFrame) -> DataFrame:
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Per conversation, from the windows alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    blocks = F.slice(F.split("text", HEAD), 2, 2**31 - 2)  # before the first mark there is nothing
-    own = F.slice(blocks, F.col("n_repeated") + 1, 2**31 - 2)
+    # Before the first mark there is nothing.  Lengths are real ones: start and length together must not overflow.
+    marked = F.split("text", HEAD)
+    blocks = F.slice(marked, F.lit(2), F.size(marked))
+    own = F.slice(blocks, F.col("n_repeated") + 1, F.size(blocks))
     role = lambda b: unescaped(F.substring_index(b, MIDDLE, 1))
     # A block is role, MIDDLE, body, TAIL; TAIL ends like MIDDLE, and neither role nor body holds "<" or ">".
     body = lambda b: unescaped(F.substring_index(F.substring_index(F.substring_index(b, MIDDLE, 2), MIDDLE, -1), TAIL[0], 1))

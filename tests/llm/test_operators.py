@@ -185,6 +185,14 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_digest_covers_windows_that_repeat_turns(spark):
+    turns = [(1, 0, "system", "rule")] + [(1, i, "user" if i % 2 else "assistant", f"word{i} " * 20) for i in range(1, 40)]
+    windows = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=300, history=90)
+    assert windows.where("n_repeated >= 2").count() > 1
+    told = "".join(f"{role}\n{text}\n" for _, _, role, text in turns)
+    assert chat.read_back(windows).first().turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
 def test_url_filter_carries_blocks_to_aliases(spark):
     link = '<LINK href="{}" rel="canonical"><!-- <link rel=canonical href="https://q.example.net/z"> -->'
     pages = [
