@@ -18,8 +18,10 @@ from ..functions import vessel as physics
 from ..operators import costing, grid, mesh, paths, smoothing, vessel
 from ..schema import CASES, HEADINGS_DEG, at_case
 from ..sources import writers
+from ..sources.readers import MeshBundle
 from ..streaming import observations
 from ..tables import written
+from . import planner
 from .config import RouteConfig, VesselConfig
 
 INF = float("inf")
@@ -251,32 +253,26 @@ def j03_adjust(spark, d):
     return moved.select("Name", r6(F.col("Lat")).alias("Lat"), r6(F.col("Long")).alias("Long"))
 
 
-def _route_legs(spark, d):
-    c = written(_even(cells(spark, d)), "cells")
-    costs = written(paths.edge_costs(mesh.ordered(mesh.adjacency(c)), c), "costs")
-    # From the middle of the mesh, as far as it goes, to its corners, and along its south.
-    last = c.agg(F.max(F.col("id").cast("bigint"))).first()[0]
-    place = lambda k: (k % 20 * 0.2 + 0.1, k // 20 * 0.1 - 69.95, str(k))
-    named = {"south west": 0, "south east": 19, "north west": last // 20 * 20, "north east": last, "middle": last // 2}
-    points = spark.createDataFrame([(n, *place(k), "X" if n in ("middle", "south west") else None, "X") for n, k in named.items()], "Name string, Long double, Lat double, cell string, Source string, Destination string")
-    pairs = paths.route_pairs(points)
-    hops = paths.shortest_paths(costs, pairs.select(F.col("from_cell").alias("source"), F.col("to_cell").alias("target")))
-    return written(paths.route_legs(pairs, hops, costs, c), "legs"), costs, c
+def _plan(spark, d):
+    """The ship's routes through its open cells, at its own performance, from every source to every destination."""
+    c = written(cells(spark, d), "cells")
+    bundle = planner.add_vehicle(MeshBundle(c, written(mesh.ordered(mesh.adjacency(c)), "edges"), {}), SHIP)
+    return planner.plan_routes(bundle, _points(spark, d), ROUTE)
 
 
 @query()
 def r11_planned_routes(spark, d):
-    return paths.with_running(_route_legs(spark, d)[0]).drop("battery", "cum_battery")
+    return paths.with_running(_plan(spark, d).legs).drop("battery", "cum_battery")
 
 
 @query()
 def r02_smoothed_routes(spark, d):
-    return smoothing.smooth_routes(*_route_legs(spark, d), ROUTE)
+    return _plan(spark, d).smoothed()
 
 
 @query()
 def k03_route_features(spark, d):
-    return writers.route_lines(smoothing.smooth_routes(*_route_legs(spark, d), ROUTE))
+    return writers.route_lines(_plan(spark, d).smoothed())
 
 
 # Running sums, totals and leads over legs.

@@ -190,6 +190,20 @@ def test_shortest_paths_match_brute_force(spark, monkeypatch):
     assert total(paths.shortest_paths(costs, requests)) == expected
 
 
+def test_planned_routes_are_the_ships_between_all_waypoints(spark, tmp_path):
+    from meshvoyage.plans import queries
+
+    # Land in each cell of the eighth column but its third; sources by nation 0, destinations by nation 1.
+    size = F.when((F.col("id") % 20 == 8) & (F.expr("id DIV 20") != 2), 1).otherwise(F.col("id") % 3 * 10 + 10)
+    spark.range(100).select(F.col("id").alias("p_partkey"), size.cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 9).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).cast("int").alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    legs = queries.r11_planned_routes(spark, str(tmp_path)).collect()
+    sources, destinations = [3, 6], [1, 3, 4, 6, 7]
+    assert {r.route_id for r in legs} == {f"Route - C{a} to C{b}" for a in sources for b in destinations if a != b}
+    assert all(r.fuel is None or r.fuel > 0 for r in legs) and not {r.cell for r in legs} & {str(k) for k in range(8, 100, 20) if k != 48}
+    assert len({round(r.fuel / r.traveltime, 3) for r in legs if r.traveltime}) > 1
+
+
 def test_smoothing_keeps_within_edges_and_does_not_lengthen(spark):
     cells = {str(i): smoothing.Cell(str(i), 2.0 * i + 1, 60.0, 1.0, 2.0, 0.0, 0.0, 0.0, (10.0,) * 8) for i in range(4)}
     around = {str(i): [(2, str(i + 1))] * (i < 3) + [(-2, str(i - 1))] * (i > 0) for i in range(4)}
