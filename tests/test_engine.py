@@ -204,6 +204,12 @@ def test_planned_routes_are_the_ships_between_all_waypoints(spark, tmp_path):
     assert len({round(r.fuel / r.traveltime, 3) for r in legs if r.traveltime}) > 1
 
 
+def test_query_routes_are_smoothed_with_the_default_passes():
+    from meshvoyage.plans import queries
+
+    assert queries.ROUTE.smoothing_max_iterations == 2000
+
+
 def test_smoothing_keeps_within_edges_and_does_not_lengthen(spark):
     cells = {str(i): smoothing.Cell(str(i), 2.0 * i + 1, 60.0, 1.0, 2.0, 0.0, 0.0, 0.0, (10.0,) * 8) for i in range(4)}
     around = {str(i): [(2, str(i + 1))] * (i < 3) + [(-2, str(i - 1))] * (i > 0) for i in range(4)}
