@@ -14,6 +14,8 @@ from .mesh import _tile_size
 #: Pieces further apart than this many degrees are no continuous route.
 GAP = 0.05
 TINY = 1e-12
+#: Pieces up to this share of a leg are slivers at a corner.  Two longer ones that begin within 1e-9 of each other overlap.
+SLIVER = 2e-9
 
 
 def route_lines(points: DataFrame) -> DataFrame:
@@ -39,7 +41,8 @@ def cut_at_cells(lines: DataFrame, cells: DataFrame) -> DataFrame:
     """Every piece of a leg in a cell: t_in and t_out along the leg, and its end points.
 
     Legs and cells meet in tiles as large as the largest cell.  A piece along a common
-    border belongs to the first of the cells in mesh order.
+    border belongs to the first of the cells in mesh order; a sliver at a corner
+    stays and takes no other piece's place.
     """
     size = F.broadcast(_tile_size(cells))  # one row
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / F.col("_tile")), F.floor(F.greatest(a, b) / F.col("_tile"))))
@@ -54,8 +57,8 @@ def cut_at_cells(lines: DataFrame, cells: DataFrame) -> DataFrame:
     })
     both = both.withColumns({"t_in": F.greatest(c("_x.enter"), c("_y.enter"), F.lit(0.0)), "t_out": F.least(c("_x.leave"), c("_y.leave"), F.lit(1.0))}).where("t_out - t_in > 1e-12")
     mark = F.round(c("t_in") * 1e9).cast("bigint")
-    first = F.row_number().over(W.partitionBy("route_id", "leg", "_mark").orderBy(c("cell.id").cast("double").asc_nulls_last(), c("cell.id")))
-    once = both.withColumn("_mark", mark).withColumn("_nth", first).where("_nth = 1")
+    first = F.row_number().over(W.partitionBy("route_id", "leg", "_mark", "_sliver").orderBy(c("cell.id").cast("double").asc_nulls_last(), c("cell.id")))
+    once = both.withColumns({"_mark": mark, "_sliver": c("t_out") - c("t_in") <= SLIVER}).withColumn("_nth", first).where("_sliver OR _nth = 1")
     at = lambda t: {"x": c("x0") + (c("x1") - c("x0")) * t, "y": c("y0") + (c("y1") - c("y0")) * t}
     a, b = at(c("t_in")), at(c("t_out"))
     return once.select("route_id", "leg", "t_in", "t_out", "cell", a["x"].alias("start_lon"), a["y"].alias("start_lat"), b["x"].alias("end_lon"), b["y"].alias("end_lat"))

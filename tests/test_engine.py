@@ -243,6 +243,17 @@ def test_drawn_route_costs_add_up(spark):
     assert costing.cost_route(points, cells).where("route_id = '2'").count() > 0
 
 
+def test_a_sliver_at_a_corner_takes_no_pieces_place(spark):
+    # The mesh of the queries around the corner of cells 526 (south east) and 546, 545, 525.
+    k = F.col("id").cast("int")
+    cells = spark.range(500, 580).select(F.col("id").cast("string").alias("id")).withColumns({"cx": k % 20 * 0.2 + 0.1, "cy": F.floor(k / 20) * 0.1 - 69.95, "dcx": F.lit(0.1), "dcy": F.lit(0.05)})
+    points = [("0", 0, 1.397462, -67.40127), ("0", 1, 1.402538, -67.39873), ("1", 0, 1.4, -67.39), ("1", 1, 1.4, -67.36)]
+    lines = costing.route_lines(spark.createDataFrame(points, "route_id string, order int, Long double, Lat double"))
+    pieces = costing.cut_at_cells(lines, cells).collect()
+    for route in ("0", "1"):
+        assert sum(p.t_out - p.t_in for p in pieces if p.route_id == route) == pytest.approx(1.0, abs=1e-8)
+
+
 def test_config_errors():
     with pytest.raises(ValueError):
         VesselConfig.from_dict({"vessel_type": "raft", "max_speed": 1, "unit": "km/hr", "max_ice_conc": 1, "min_depth": 1})
