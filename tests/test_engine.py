@@ -223,6 +223,20 @@ def test_smoothing_keeps_within_edges_and_does_not_lengthen(spark):
     assert all(58.0 <= s.at[1] <= 62.0 for s in done)
 
 
+def test_smoothing_by_parts_equals_smoothing_with_the_whole_graph(spark, monkeypatch):
+    k = F.col("id").cast("int")
+    cells = even(synthetic.regular_cells(spark, 8, 8, 0.0, 50.0, 2.0, 1.0)).withColumns({"uC": (k % 3 - 1) * 0.9, "vC": (k % 5 - 2) * 0.5, "inaccessible": k.isin(18, 27, 44)})
+    bundle = readers.MeshBundle(cells, mesh.ordered(mesh.adjacency(cells)), {})
+    points = spark.createDataFrame([("A", 50.2, 0.3, "X", "X"), ("B", 57.7, 15.6, "X", "X"), ("C", 57.6, 0.4, None, "X")], "Name string, Lat double, Long double, Source string, Destination string")
+    plan = plan_routes(bundle, points, ROUTE)
+    rows = lambda: sorted(map(tuple, plan.smoothed().collect()))
+    whole = rows()
+    assert len({r[0] for r in whole}) == 4
+    monkeypatch.setattr(smoothing, "GRAPH_EDGES", 1)
+    monkeypatch.setattr(smoothing, "RINGS", 0)
+    assert rows() == whole
+
+
 def test_overflow_and_corner_rules():
     big, small = smoothing.Cell("a", 0, 0, 1, 2), smoothing.Cell("b", 2, 0, 1, 1)
     step = smoothing.Step(big, small, 2, (1.0, 0.0))
