@@ -204,6 +204,19 @@ def test_planned_routes_are_the_ships_between_all_waypoints(spark, tmp_path):
     assert len({round(r.fuel / r.traveltime, 3) for r in legs if r.traveltime}) > 1
 
 
+def test_both_searches_take_the_same_of_equal_paths(spark, monkeypatch):
+    # A grid with costs of 1 and one near tie; "b" comes before "c", and the dear way is dearer by less than 1e-9.
+    grid = [(f"{x}{y}", f"{x + dx}{y + dy}", 1.0) for x in range(4) for y in range(4) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1)) if 0 <= x + dx < 4 and 0 <= y + dy < 4]
+    near = [("a", "b", 1.0 + 1e-10), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0)]
+    edges = spark.createDataFrame([(s, d, c, 0.0) for s, d, c in grid + near], "src string, dst string, t1 double, t2 double")
+    requests = spark.createDataFrame([("33", "00"), ("00", "33"), ("12", "30"), ("a", "d")], "source string, target string")
+    hops = lambda: sorted(map(tuple, paths.shortest_paths(edges, requests).collect()))
+    held = hops()
+    assert [h[3] for h in held if h[0] == "a"] == ["a", "c"]
+    monkeypatch.setattr(paths, "SEARCH_EDGES", 1)
+    assert hops() == held
+
+
 def test_query_routes_are_smoothed_with_the_default_passes():
     from meshvoyage.plans import queries
 
