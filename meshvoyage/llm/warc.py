@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,17 +50,56 @@ def _record(kind: str, refers_to: str | None, uri: str, date: str, content_type:
     return key, rid, kind, refers_to, uri, date, content_type, len(block), digest(block), payload, list(headers.items()), block
 
 
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body  # stored without its chunks
+        if size == 0:
+            break
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(parts)
+
+
+def _inflated(body: bytes, kind: str) -> bytes:
+    """``body`` as far as it can be inflated; a body that is stored inflated, or coded otherwise, stays."""
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(kind, ()):
+        try:
+            return zlib.decompressobj(bits).decompress(body)
+        except zlib.error:
+            continue
+    return body
+
+
+def decoded(payload: bytes, headers: dict[str, str]) -> str:
+    """The text of an HTTP body by its transfer and content coding and its charset, from the header or the page itself."""
+    named = {k.lower(): v or "" for k, v in headers.items()}
+    body = _unchunked(payload) if "chunked" in named.get("transfer-encoding", "").lower() else payload
+    for kind in reversed(named.get("content-encoding", "").lower().split(",")):
+        body = _inflated(body, kind.strip())
+    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""), re.I)
+    found = found or re.search(r"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", body[:1024].decode("latin-1"), re.I)
+    try:
+        return body.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def _derive(batches) -> Iterator[pa.RecordBatch]:
-    """From (record_id, target_uri, date, http headers, html, key) two records for each response."""
+    """From (record_id, target_uri, date, http headers, html, key, payload, its digest, block digest) two records for each response."""
     for batch in batches:
         rows = []
-        for rid, uri, date, headers, source, key in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            uri, date, body = uri or "", date or "", (source or "").encode()
-            payload = digest(body)
+        for rid, uri, date, headers, source, key, held, told, block in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            uri, date, body = uri or "", date or "", (source or "").encode() if held is None else held
+            payload = told or digest(body)
             source_headers = dict(headers or [])
             text = plain_text(source or "").encode("utf-8", "replace")
             conversion = record_id(rid, "conversion")
             fields = {"source-id": rid, "source-payload-digest": payload, "source-length": str(len(body)), "conversion-id": conversion, "conversion-length": str(len(text))}
+            fields |= {"source-block-digest": block} if block else {}
             fields |= {f"source-header-{k.lower()}": re.sub(r"\s+", " ", v or "") for k, v in source_headers.items()}
             about = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
             rows.append(_record("metadata", rid, uri, date, "application/warc-fields", about, source_headers, payload, record_id(rid, "metadata"), key))
@@ -82,14 +122,15 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two records for each response: metadata, and conversion to plain text.
 
     ``responses`` has record_id, target_uri, date, headers and html, and may have a key,
-    which the records keep; other columns are ignored.  refers_to is the response's id, headers and payload_digest are those of
+    which the records keep, and the source's payload, payload_digest and block_digest,
+    which are kept as they are; other columns are ignored.  refers_to is the response's id, headers and payload_digest are those of
     the response, block_digest is that of the record's own block.  A null html is an
     empty payload with an empty conversion block; a null uri or date is empty; a null
     id refers to nothing and gives null.  Repeated rows give repeated records; an
     empty table gives none.
     """
-    key = F.col("key").cast("string") if "key" in responses.columns else F.lit(None).cast("string")
-    rows = responses.select(F.coalesce("record_id", F.lit("")).alias("r"), "target_uri", "date", "headers", "html", key.alias("key"))
+    given = lambda n, t="string": (F.col(n) if n in responses.columns else F.lit(None)).cast(t).alias(n)
+    rows = responses.select(F.coalesce("record_id", F.lit("")).alias("r"), "target_uri", "date", "headers", "html", given("key"), given("payload", "binary"), given("payload_digest"), given("block_digest"))
     made = rows.mapInArrow(_derive, COLUMNS)
     return made.withColumn("refers_to", F.nullif(F.col("refers_to"), F.lit("")))
 
@@ -139,12 +180,12 @@ def _parsed(batches) -> Iterator[pa.RecordBatch]:
                 if r["record_type"] == "response":
                     head, _, body = r["block"].partition(b"\r\n\r\n")
                     headers = [tuple(x.split(": ", 1)) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x]
-                    rows.append((r["record_id"], r["target_uri"], r["date"], headers, body.decode("utf-8", "replace")))
-        types = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["record_id", "target_uri", "date", "headers", "html"])
+                    rows.append((r["record_id"], r["target_uri"], r["date"], headers, decoded(body, dict(headers)), body, r["fields"].get("WARC-Payload-Digest"), r["fields"].get("WARC-Block-Digest")))
+        types = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["record_id", "target_uri", "date", "headers", "html", "payload", "payload_digest", "block_digest"])
 
 
 def read_responses(spark, path: str) -> DataFrame:
     """Response records of the WARC files under ``path``; each file is read by one task."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parsed, "record_id string, target_uri string, date string, headers map<string,string>, html string")
+    return files.mapInArrow(_parsed, "record_id string, target_uri string, date string, headers map<string,string>, html string, payload binary, payload_digest string, block_digest string")

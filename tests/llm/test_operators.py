@@ -250,3 +250,26 @@ def test_warc_round_trip(spark):
     assert len(back) == 4 and {r["refers_to"] for r in back} == {r.refers_to for r in rows}
     assert all(r["fields"]["WARC-Block-Digest"] == warc.digest(r["block"]) for r in back)
     assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
+
+
+def test_warc_reader_keeps_payloads_and_digests(spark, tmp_path):
+    import gzip
+
+    page = "<p>Füße</p>".encode("latin-1")
+    packed = gzip.compress(page, mtime=0)
+    bodies = [(b"Content-Type: text/html; charset=ISO-8859-1", page), (b"Content-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n")]
+    archive = b""
+    for i, (head, body) in enumerate(bodies):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        fields = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Target-URI: https://a.example/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:PAYLOAD{i}\r\nWARC-Block-Digest: sha1:BLOCK{i}\r\nContent-Length: {len(block)}\r\n\r\n"
+        archive += fields.encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(archive)
+    responses = warc.read_responses(spark, str(tmp_path))
+    assert [bytes(r.payload) for r in responses.orderBy("record_id").collect()] == [b for _, b in bodies]
+    for r in warc.derivatives(responses).collect():
+        i = r.refers_to[-2]
+        assert r.payload_digest == f"sha1:PAYLOAD{i}"
+        if r.record_type == "conversion":
+            assert bytes(r.block).decode() == "Füße"
+        else:
+            assert f"source-block-digest: sha1:BLOCK{i}" in bytes(r.block).decode() and f"source-length: {len(bodies[int(i)][1])}" in bytes(r.block).decode()
