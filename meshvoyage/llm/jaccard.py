@@ -9,9 +9,12 @@ the smallest ones beyond those the pigeonhole needs: all sets rank segments by t
 same rule (their shingles' number, then their hash), so two similar sets still keep
 a common one.  Candidates are verified on their whole sets.
 
+Equal sets are linked by their digests, and one of them alone goes through the join.
 A group of equal segments is not expanded into pairs.  Its members are first held
-against one of them; only members that this leaves in different components are
-compared with each other, in blocks, behind bounds that never drop a true pair.
+against one of them, the representative.  Only groups whose members this leaves in
+different classes are compared further: all groups of one representative together, in
+blocks that hold the members' sets, behind bounds that never drop a true pair.  A
+block gives verified links alone, fewer than it has members.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ SLACK = 0.06  # more segments than needed, by this share of them and three
 #: documents, and the cost of a candidate pair in signature rows.
 COMMON, PAIR_COST = 0.02, 4.0
 SKETCH = 1024  # bits of the parity sketch
-BLOCK = 2048  # members of a group that one task compares with as many others
+#: Members of a group, and their shingles, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Signatures that one task groups, about.
+BUCKET_ROWS = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -129,15 +135,26 @@ def _scan(n: int):
     return run
 
 
-def _emit(n: int, plans: list, threshold: Fraction, buckets: int):
-    """Signatures by bucket, many to a row.  Equal ones of a batch are joined here: one of them travels on."""
+def _known(batch: pa.RecordBatch, filter_: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The rows whose ids pass the filter; none with a null id."""
+    batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(hits(filter_, mix(ids.view(np.uint64)), bits)))
+
+
+def _emit(n: int, plans: list, threshold: Fraction, buckets: int, shared, bits: int):
+    """Signatures of the sets whose ids pass the filter, by bucket, many to a row.
+
+    Equal ones of a batch are joined here: one of them travels on.
+    """
 
     def run(batches):
+        filter_ = opened(shared)
         for batch in batches:
-            sigs, docs = [], []
+            batch, sigs, docs = _known(batch, filter_, bits), [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(t, n)
-                if len(own) and i is not None:
+                if len(own):
                     for s in _signatures(own, plans, threshold):
                         sigs.append(s)
                         docs.append(np.full(len(s), i, np.int64))
@@ -223,9 +240,7 @@ def _sets(n: int, shared, bits: int):
     def run(batches):
         filter_ = opened(shared)
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(hits(filter_, mix(ids.view(np.uint64)), bits)))
+            batch = _known(batch, filter_, bits)
             made = [shingles(t, n).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "own"])
 
@@ -248,59 +263,98 @@ def _verify(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int, brief: bool):
-    """Pairs of different components within groups that arrive sorted by (sig, lo, hi).
+class _Classes:
+    """Union-find over the classes of one block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(x) + len(y) - common)
 
-    ``brief`` leaves one pair, the closest by the sketches, for each two components.
+
+def _links_within(doc: list, comp: list, block: list, named: list, sets: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links between members of one block that share a signature and are of different classes so far.
+
+    Every such pair is decided: by the bounds, by its whole sets, or because links
+    found here have joined its classes.  So there are fewer links than members.
     """
+    if len(set(comp)) < 2:
+        return []
+    n = np.array([len(x) for x in sets])
+    doc_, block_ = np.array(doc), np.array(block)
+    cross = block_.min() != block_.max()
+    order = np.lexsort((doc_, block_)) if cross else np.argsort(doc_, kind="stable")
+    sketch = np.stack([np.packbits((np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)) for x in sets]).view(np.uint64)
+    flat, at = np.concatenate(named), np.repeat(np.arange(len(doc)), [len(x) for x in named])
+    by_sig = np.argsort(flat, kind="stable")
+    flat, at = flat[by_sig], at[by_sig]
+    share = np.zeros((len(doc), len(doc)), bool)
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    for x, y in zip(first.tolist(), np.r_[first[1:], len(flat)].tolist(), strict=True):
+        if y - x > 1:
+            share[np.ix_(at[x:y], at[x:y])] = True
+    classes, links = _Classes(), []
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.arange(len(doc))
+    for i in order.tolist():
+        j = np.flatnonzero(share[i] & (rank > rank[i]) & ((block_ != block_[i]) if cross else True))
+        if not len(j):
+            continue
+        small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+        j = j[den * small >= num * large]
+        far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
+        fits = far * (den + num) <= (n[j] + n[i]) * (den - num)
+        for k in j[fits][np.argsort(far[fits], kind="stable")].tolist():
+            if classes.find(comp[i]) != classes.find(comp[k]) and _similar(sets[i], sets[k], num, den):
+                classes.join(comp[i], comp[k])
+                links.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
+    return links
 
-    def compare(g) -> list[tuple]:
-        doc, n, comp, block, sketch = g
-        blocks = np.unique(block)
-        first, second = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1])
-        out, best = [], {}
-        for i in first:
-            j = second[(comp[second] != comp[i]) & ((doc[second] > doc[i]) if len(blocks) == 1 else True)]
-            small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            j = j[den * small >= num * large]
-            if not len(j):
-                continue
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-            fits = apart * (den + num) <= (n[j] + n[i]) * (den - num)
-            for k, far in zip(j[fits].tolist(), apart[fits].tolist(), strict=True):
-                row = (min(doc[i], doc[k]), max(doc[i], doc[k]), min(comp[i], comp[k]), max(comp[i], comp[k]), far)
-                if not brief:
-                    out.append(row)
-                elif row[2:4] not in best or best[row[2:4]][4] > far:
-                    best[row[2:4]] = row
-        return out or list(best.values())
+
+def _within(num: int, den: int):
+    """Links (a, b) inside blocks that arrive sorted by (rep, lo, hi): see ``_links_within``."""
 
     def run(batches):
-        key, held = None, []
+        key, held = None, None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]  # sig, lo, hi, doc, n, comp, block
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            change = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
-            pairs = []
-            for x, y in zip(change, np.r_[change[1:], batch.num_rows], strict=True):
-                now = (cols[0][x], cols[1][x], cols[2][x])
-                part = tuple(c[x:y] for c in cols[3:]) + (sketch[x:y],)
-                if now == key:
-                    held.append(part)
-                else:
-                    if held:
-                        pairs += compare(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
-                    key, held = now, [part]
-            yield _pairs(pairs)
-        if held:
-            yield _pairs(compare(tuple(np.concatenate(c) for c in zip(*held, strict=True))))
+            links = []
+            cols = [batch.column(i).to_pylist() for i in range(6)]  # rep, lo, hi, doc, comp, block
+            sigs = batch.column(6)
+            flat, ends = sigs.values.to_numpy(), sigs.offsets.to_numpy()
+            named = [flat[x:y].copy() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(7).to_pylist()]
+            for row in zip(*cols, named, sets, strict=True):
+                if row[:3] != key:
+                    if held is not None:
+                        links += _links_within(*held, num, den)
+                    key, held = row[:3], ([], [], [], [], [])
+                for to, value in zip(held, row[3:], strict=True):
+                    to.append(value)
+            yield _pairs(links)
+        if held is not None:
+            yield _pairs(_links_within(*held, num, den))
 
     return run
 
 
-def _pairs(pairs: list) -> pa.RecordBatch:
-    rows = np.array(pairs, np.int64).reshape(-1, 5)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "ca", "cb", "apart"])
+def _pairs(links: list) -> pa.RecordBatch:
+    rows = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b"])
 
 
 class _Join:
@@ -309,17 +363,34 @@ class _Join:
         self.num, self.den, self.n = self.share.numerator, self.share.denominator, n
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
         self.table = materialize(self.docs.mapInArrow(_scan(n), "id bigint, n bigint, digest binary, sketch binary"), "sets")
+        sized = self.table.where("id IS NOT NULL AND n > 0")
+        self.firsts = materialize(sized.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n")), "firsts")
 
     def stars(self) -> DataFrame:
+        """(sig, rep, doc) of the signatures that two or more different sets have."""
         spans = bands(self.share, self.table.agg(F.max("n")).first()[0] or 0)
         edges = F.array(*[F.lit(high) for _, high in spans]) if spans else F.array().cast("array<int>")
         band = F.size(F.filter(edges, lambda high: high < F.col("n")))
-        sizes = {r[0]: r[1] for r in self.table.where("n > 0").groupBy(band.alias("band")).count().collect()}  # a number for each band
+        sizes = {r[0]: r[1] for r in self.firsts.groupBy(band.alias("band")).count().collect()}  # a number for each band
         plans = [(k, span, *allocate(span, sizes.get(k, 0), self.share)) for k, span in enumerate(spans)]
-        buckets = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sigs = self.docs.mapInArrow(_emit(self.n, plans, self.share, buckets), "bucket int, sigs binary, docs binary, reps binary")
+        rows = sum(sizes.get(k, 0) * (segments + (sum(span) // 2 if kind == "deletion" else 0)) for k, span, kind, segments in plans)
+        buckets = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET_ROWS)
+        bits = size_for(sum(sizes.values()))
+        known = members(self.firsts.select("first"), bits)
+        sigs = self.docs.mapInArrow(_emit(self.n, plans, self.share, buckets, known, bits), "bucket int, sigs binary, docs binary, reps binary")
         return materialize(sigs.repartition(buckets, "bucket").mapInArrow(_group, "sig bigint, rep bigint, doc bigint"), "stars")
 
+    def equal(self) -> DataFrame:
+        """Links of equal sets, each to the smallest id."""
+        many = self.firsts.where("copies > 1").select("digest", "first")
+        return self.table.where("n > 0").join(many, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, own): the sets of the documents that ``ids`` names, and perhaps of a few more."""
+        ids = materialize(ids, "ids")
+        bits = size_for(ids.count())
+        return materialize(self.docs.mapInArrow(_sets(self.n, members(ids, bits), bits), "id bigint, own binary"), "own")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of distinct ``pairs`` (a, b) those that reach the threshold, written."""
         known = self.table.where("id IS NOT NULL")
@@ -329,46 +400,43 @@ class _Join:
         sized = materialize(sized.select("a", "b", "na", "nb", F.when(F.col("da") != F.col("db"), F.col("sa")).alias("sa"), F.when(F.col("da") != F.col("db"), F.col("sb")).alias("sb")), "pairs")
         equal = sized.where("sa IS NULL").select("a", "b")
         maybe = materialize(sized.where("sa IS NOT NULL").mapInArrow(_bounded(self.num, self.den), "a bigint, b bigint").distinct(), "maybe")
-        ids = materialize(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        bits = size_for(ids.count())
-        own = materialize(self.docs.mapInArrow(_sets(self.n, members(ids, bits), bits), "id bigint, own binary"), "own")
+        own = self.sets(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = maybe.join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a bigint, b bigint").union(equal).distinct(), "links")
 
     def components(self) -> DataFrame:
         stars = self.stars()
         pairs = materialize(stars.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), "candidates")
-        links = self.linked(pairs)
+        links = materialize(self.linked(pairs).union(self.equal()), "links")
         comp = connected_components(links)
+        found = self.within(stars, comp)
+        return comp if found.isEmpty() else connected_components(links.union(found))
+
+    def within(self, stars: DataFrame, comp: DataFrame) -> DataFrame:
+        """Links between members of common groups that ``comp`` leaves in different classes, written."""
         of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        open_ = materialize(stars.join(apart.select(F.col("a").alias("rep"), F.col("b").alias("doc")), ["rep", "doc"], "left_semi").select("sig").distinct(), "open")
-        rows = materialize(stars.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("rep", "doc")).alias("doc")).distinct(), "open-rows")
-        # First one pair for each two components that may touch; then all pairs of those still apart.
-        for brief in (True, False):
-            more = self.across(rows, comp, brief)
-            if more.isEmpty():
-                return comp
-            found = self.linked(more)
-            if not found.isEmpty():
-                links = links.union(found)
-                comp = connected_components(links)
-        return comp
-
-    def across(self, rows: DataFrame, comp: DataFrame, brief: bool) -> DataFrame:
-        """Pairs (a, b) in common groups whose members lie in different components, written."""
-        rows = rows.join(comp, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-        rows = materialize(rows, "open-components")
-        blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
-        spread = rows.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        spread = spread.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "block")
-        full = spread.join(self.table.where("id IS NOT NULL").select(F.col("id").alias("doc"), "n", "sketch"), "doc").select("sig", "lo", "hi", "doc", "n", "comp", "block", "sketch")
-        sorted_ = full.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        pairs = sorted_.mapInArrow(_across(self.num, self.den, brief), "a bigint, b bigint, ca bigint, cb bigint, apart bigint")
-        if brief:
-            pairs = pairs.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        return materialize(pairs.select("a", "b").distinct(), "more")
+        classed = stars.join(of("rep"), "rep", "left").join(of("doc"), "doc", "left")
+        apart = F.coalesce("crep", "rep") != F.coalesce("cdoc", "doc")
+        # A group may have several stars, one from each batch; its smallest id names it.
+        open_ = classed.groupBy("sig").agg(F.bool_or(apart).alias("apart"), F.min("rep").alias("top")).where("apart").select("sig", "top")
+        rows = stars.join(materialize(open_, "open"), "sig").select(F.col("top").alias("rep"), F.explode(F.array("rep", "doc")).alias("doc"), "sig")
+        units = materialize(rows.groupBy("rep", "doc").agg(F.collect_set("sig").alias("sigs")), "units")
+        units = units.join(of("rep"), "rep", "left").join(of("doc"), "doc", "left").join(self.table.select(F.col("id").alias("doc"), "n"), "doc")
+        # The representative's class is one side; its members are not held against each other.
+        own_class = F.coalesce("cdoc", "doc") == F.coalesce("crep", "rep")
+        units = materialize(units.select("rep", "doc", F.coalesce("cdoc", "doc").alias("comp"), own_class.alias("near"), "n", "sigs"), "units")
+        blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))).cast("int")
+        small = (F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)
+        dealt = units.groupBy("rep").agg(small.alias("small"), blocks(F.col("near")).alias("g"), blocks(~F.col("near")).alias("h"))
+        units = units.join(materialize(dealt, "dealt"), "rep")
+        place = F.pmod(F.xxhash64("doc"), F.when(F.col("near"), F.col("g")).otherwise(F.col("h"))).cast("int") + F.when(F.col("near"), 0).otherwise(F.col("g"))
+        units = units.withColumn("block", F.when(F.col("small"), 0).otherwise(place))
+        others = F.sequence(F.when(F.col("near"), F.col("g")).otherwise(0), F.col("g") + F.col("h") - 1)
+        units = units.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
+        own = self.sets(units.select(F.col("doc").alias("id")).distinct()).select(F.col("id").alias("doc"), "own")
+        full = units.join(own, "doc").select("rep", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "block", "sigs", "own")
+        sorted_ = full.repartition("rep", "lo", "hi").sortWithinPartitions("rep", "lo", "hi")
+        return materialize(sorted_.mapInArrow(_within(self.num, self.den), "a bigint, b bigint").distinct(), "more")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -127,8 +127,11 @@ def test_language_id(spark):
     assert langid.identify(frame(spark, EMPTY)).count() == 0
 
 
-def test_jaccard_join(spark, texts, monkeypatch):
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_jaccard_join(spark, texts, monkeypatch, batch):
+    """Against all pairs; small blocks, and many batches, each with stars of its own."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rows = [x for x in texts if x[0] is not None and x[0] != 96]
     sets = {}
     for i, t, _ in rows:
@@ -144,6 +147,7 @@ def test_jaccard_join(spark, texts, monkeypatch):
             changed |= comp[i] != low or comp[j] != low
             comp[i] = comp[j] = low
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, texts)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert all(got[i] == (len(sets[i]), comp[i]) for i in sets) and got[None][1] is None
     assert len(set(comp.values())) < len(comp) - 15
     assert jaccard.near_duplicates(frame(spark, EMPTY)).count() == 0
