@@ -11,37 +11,52 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The model is fitted on about this many labelled documents of each language, chosen
-#: by a hash of their ids; with fewer, on all of them.
+#: by a hash of their ids; with fewer, on all of them.  It keeps all of their words.
 SAMPLE_ROWS = 2500
-#: The model keeps this many of the sample's words, the most frequent ones, seen at least LEAST times.
-WORDS, LEAST = 150_000, 3
-GRAMS = (5, 4, 3, 2, 1)
+WORDS, GRAMS = 0, (5, 4, 3, 2, 1)  # kinds of entries
 SMOOTHING = 0.5
-#: Words outside the model that a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+#: Words whose rows a worker remembers; beyond that it forgets them and looks them up again.
+REMEMBERED = 1 << 16
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Model(NamedTuple):
+    """Languages, and for each kind the sorted 64-bit hashes of its entries and a row of log odds for each.
+
+    Flat arrays: a worker's copy takes 8 bytes an entry and 4 more for each language.
+    """
+
+    langs: list[str]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 def held_out(id_: Column) -> Column:
     """True where crc32 of the id as text is 2 modulo 4; a null id reads as ''."""
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 4 == 2
 
 
+def _hashes(texts: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
+
+
 def _count(batches):
     for batch in batches:
         counts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[lang].update(WORD.findall(text.lower()))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+        made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(made, ["lang", "word", "n"])
 
 
 def _grams_of(word: str, n: int) -> list[str]:
@@ -49,96 +64,117 @@ def _grams_of(word: str, n: int) -> list[str]:
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
-def _centred(counts: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, np.ndarray]:
-    """Log frequencies of each entry, less their mean over the languages."""
-    rows = np.array(list(counts.values()), float).reshape(len(counts), len(totals))
-    logs = np.log(rows + SMOOTHING) - np.log(totals + SMOOTHING * max(1, len(counts)))
-    return dict(zip(counts, logs - logs.mean(axis=1, keepdims=True), strict=True))
-
-
-def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict:
-    """A model from rows with text and language; ``{"langs": []}`` if there are none."""
+def _entries(batches):
+    """(kind, hash, lang, n) of counted words and of the n-grams in them."""
+    for batch in batches:
+        lang, words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        counts: Counter = Counter()
+        for where, word, times in zip(lang, words, n, strict=True):
+            counts[WORDS, word, where] += times
+            for k in GRAMS:
+                for gram in _grams_of(word, k):
+                    counts[k, gram, where] += times
+        made = [
+            pa.array([k for k, _, _ in counts], pa.int32()),
+            pa.array(_hashes([t for _, t, _ in counts]).view(np.int64)),
+            pa.array([where for _, _, where in counts], pa.string()),
+            pa.array(list(counts.values()), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(made, ["kind", "hash", "lang", "n"])
+
+
+def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> Model:
+    """A model from rows with text and language; one without languages if there are none."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a number for each language
     langs = sorted(sizes)
     if not langs:
-        return {"langs": []}
+        return Model([], {})
     steps = 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(steps, math.ceil(steps * SAMPLE_ROWS / n)))])
     sample = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(steps)) < share[F.col(lang_col)])
     counted = sample.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(_count, "lang string, word string, n bigint")
-    words: dict[str, np.ndarray] = {}
-    at = {lang: i for i, lang in enumerate(langs)}
-    for lang, word, n in counted.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
-        if word not in words:
-            words[word] = np.zeros(len(langs), np.int64)
-        words[word][at[lang]] = n
-    grams: dict[int, dict[str, np.ndarray]] = {n: {} for n in GRAMS}
-    for word, counts in words.items():
-        for n in GRAMS:
-            own = grams[n]
-            for g in _grams_of(word, n):
-                if g in own:
-                    own[g] = own[g] + counts
-                else:
-                    own[g] = counts
-    known = sorted((w for w, c in words.items() if c.sum() >= LEAST), key=lambda w: (-words[w].sum(), w))[:WORDS]
-    totals = np.sum(list(words.values()), axis=0) if words else np.zeros(len(langs))
-    model = {"langs": langs, "words": _centred({w: words[w] for w in known}, totals), "grams": {}}
-    for n, own in grams.items():
-        often = {g: c for g, c in own.items() if c.sum() >= LEAST}
-        model["grams"][n] = _centred(often, np.sum(list(often.values()), axis=0) if often else np.zeros(len(langs)))
-    return model
+    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    entries = words.mapInArrow(_entries, "kind int, hash bigint, lang string, n bigint").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
+    found = entries.toArrow()  # the words and n-grams of the sample
+    kind, hashed, n = (found.column(i).to_numpy() for i in (0, 1, 3))
+    where = pa.compute.index_in(found.column(2), pa.array(langs)).to_numpy()
+    tables = {}
+    for k in (WORDS, *GRAMS):
+        own = kind == k
+        keys, at = np.unique(hashed[own].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(keys), len(langs)))
+        np.add.at(counts, (at, where[own]), n[own])
+        logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * max(1, len(keys)))
+        tables[k] = keys, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+    return Model(langs, tables)
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes a table holds, and the rows of those."""
+    keys, logs = table
+    if not len(keys):
+        return np.zeros(len(hashes), bool), logs
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    known = keys[at] == hashes
+    return known, logs[at[known]]
 
 
 class Scorer:
-    """Scores of texts under a model, with a table that grows by the words it meets."""
+    """Scores of texts under a model; remembers the rows of up to REMEMBERED words."""
 
-    def __init__(self, model: dict):
-        self.langs, self.grams = model["langs"], model["grams"]
-        self.known = list(model["words"])
-        self.base = np.array(list(model["words"].values()), float).reshape(len(self.known), len(self.langs))
+    def __init__(self, model: Model):
+        self.langs, self.tables = model
         self._forget()
 
     def _forget(self) -> None:
-        self.at = _Rows(self)
-        self.at.update({w: i for i, w in enumerate(self.known)})
-        self.table = np.vstack([self.base, np.zeros((REMEMBERED + 1, len(self.langs)))])
-
-    def backoff(self, word: str) -> np.ndarray:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((REMEMBERED, len(self.langs)), np.float32)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or that of its longest known n-grams, or zeros."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known, rows = _found(self.tables[WORDS], _hashes(words))
+        out[known] = rows
+        rest = np.flatnonzero(~known)
         for n in GRAMS:
-            own = self.grams[n]
-            found = [own[g] for g in _grams_of(word, n) if g in own]
-            if found:
-                return np.sum(found, axis=0) / n  # neighbours overlap in n - 1 characters
-        return np.zeros(len(self.langs))
+            if not len(rest):
+                break
+            grams = [_grams_of(words[i], n) for i in rest]
+            owner = np.repeat(np.arange(len(rest)), [len(g) for g in grams])
+            known, rows = _found(self.tables[n], _hashes([g for own in grams for g in own]))
+            sums = np.zeros((len(rest), len(self.langs)))
+            np.add.at(sums, owner[known], rows)
+            done = np.bincount(owner[known], minlength=len(rest)) > 0
+            out[rest[done]] = sums[done] / n  # neighbours overlap in n - 1 characters
+            rest = rest[~done]
+        return out
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' rows; at most REMEMBERED words."""
+        fresh = list(set(words).difference(self.at))
+        if len(self.at) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh = list(set(words))
+        if fresh:
+            start = len(self.at)
+            self.rows[start : start + len(fresh)] = self.rows_of(fresh)
+            self.at.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return self.rows[at].sum(axis=0, dtype=np.float64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         words = WORD.findall(text.lower())
-        if len(self.at) - len(self.known) + len(words) > REMEMBERED:
-            self._forget()
-        if len(words) > REMEMBERED:  # a text that alone has more words than are remembered
-            totals = sum((self.base[self.at[w]] if w in self.at else self.backoff(w)) for w in words)
-        else:
-            totals = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        totals = np.zeros(len(self.langs))
+        for x in range(0, len(words), REMEMBERED):
+            totals += self.totals(words[x : x + REMEMBERED])
         odds = np.exp(totals - totals.max())
         best = int(odds.argmax())  # of equal scores the first language in order
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-class _Rows(dict):
-    def __init__(self, scorer: Scorer):
-        super().__init__()
-        self.scorer = scorer
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.scorer.table[at] = self.scorer.backoff(word)
-        return at
-
-
 _SCORERS: dict[str, Scorer] = {}
 
 
