@@ -23,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ SKETCH = 1024  # bits of the parity sketch
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Signatures that one task groups, about.
 BUCKET_ROWS = 1 << 21
+SLICE = 2048  # rows of a batch that are worked on at once
 _MULT = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -124,7 +126,7 @@ def _scan(n: int):
     """(id, size, digest, parity sketch) of each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             sketches = []
             for s in sets:
@@ -135,9 +137,16 @@ def _scan(n: int):
     return run
 
 
+def _slices(batches):
+    """Batches of at most SLICE rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, SLICE):
+            yield batch.slice(x, SLICE)
+
+
 def _known(batch: pa.RecordBatch, filter_: np.ndarray, bits: int) -> pa.RecordBatch:
     """The rows whose ids pass the filter; none with a null id."""
-    batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+    batch = batch.filter(pc.is_valid(batch.column(0)))
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     return batch.filter(pa.array(hits(filter_, mix(ids.view(np.uint64)), bits)))
 
@@ -150,7 +159,7 @@ def _emit(n: int, plans: list, threshold: Fraction, buckets: int, shared, bits:
 
     def run(batches):
         filter_ = opened(shared)
-        for batch in batches:
+        for batch in _slices(batches):
             batch, sigs, docs = _known(batch, filter_, bits), [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(t, n)
@@ -239,7 +248,7 @@ def _sets(n: int, shared, bits: int):
 
     def run(batches):
         filter_ = opened(shared)
-        for batch in batches:
+        for batch in _slices(batches):
             batch = _known(batch, filter_, bits)
             made = [shingles(t, n).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "own"])
@@ -249,15 +258,9 @@ def _sets(n: int, shared, bits: int):
 
 def _verify(num: int, den: int):
     def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(den * common >= num * (len(x) + len(y) - common))
-            keep = pa.array(ok, pa.bool_())
+        for batch in _slices(batches):
+            own = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in own], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -331,7 +334,7 @@ def _within(num: int, den: int):
 
     def run(batches):
         key, held = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             links = []
             cols = [batch.column(i).to_pylist() for i in range(6)]  # rep, lo, hi, doc, comp, block
             sigs = batch.column(6)

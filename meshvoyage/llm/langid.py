@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> Mod
     entries = words.mapInArrow(_entries, "kind int, hash bigint, lang string, n bigint").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
     found = entries.toArrow()  # the words and n-grams of the sample
     kind, hashed, n = (found.column(i).to_numpy() for i in (0, 1, 3))
-    where = pa.compute.index_in(found.column(2), pa.array(langs)).to_numpy()
+    where = pc.index_in(found.column(2), pa.array(langs)).to_numpy()
     tables = {}
     for k in (WORDS, *GRAMS):
         own = kind == k
