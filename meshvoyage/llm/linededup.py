@@ -2,6 +2,7 @@
 
 The filters only choose what is shuffled: a line whose key surely occurs in one
 document stays where it is.  Suspected repeats are confirmed by their whole keys.
+Of the texts only those move that may lose lines, as a filter of their ids tells.
 """
 
 from __future__ import annotations
@@ -14,14 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import CHUNK, gathered, hits, members, mix, opened, packed, size_for
 from .storage import materialize
 
-BITS_PER_LINE = 16
-#: Largest filter (32 MB), the bound of what is broadcast.  Beyond it more lines are
-#: suspected and shuffled; the result is the same.
-MAX_BITS = 1 << 28
-PROBES = 4
-CHUNK = 1 << 16  # bytes of a filter that travel as one row
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -34,26 +30,6 @@ def line_keys(text: bytes | None, least: int) -> list[bytes | None]:
     return out
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return (hashes[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * step[None, :]) & np.uint64(bits - 1)
-
-
-def _packed(hashes: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits // 8, np.uint8)
-    if len(hashes):
-        at = np.unique(_positions(hashes, bits).ravel())
-        byte, bit = (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-        out[byte[first]] = np.bitwise_or.reduceat(bit, first)
-    return out
-
-
-def _hits(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    at = _positions(hashes, bits)
-    return ((filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-
-
 def _build(least: int, bits: int):
     def run(batches):
         own: list[np.ndarray] = []
@@ -65,7 +41,7 @@ def _build(least: int, bits: int):
         if not own:
             return
         seen, count = np.unique(np.concatenate(own), return_counts=True)
-        once, twice = _packed(seen, bits), _packed(seen[count > 1], bits)
+        once, twice = packed(seen, bits), packed(seen[count > 1], bits)
         rows = []
         for c in range(0, bits // 8, CHUNK):
             x, y = once[c : c + CHUNK], twice[c : c + CHUNK]
@@ -94,13 +70,13 @@ def _merge(batches):
 
 def _suspects(least: int, bits: int, shared):
     def run(batches):
-        filter_ = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        filter_ = opened(shared)
         for batch in batches:
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 own = [k for k in dict.fromkeys(line_keys(text, least)) if k is not None]
                 if own:
-                    hit = _hits(filter_, np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)), bits)
+                    hit = hits(filter_, np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)), bits)
                     for k in np.flatnonzero(hit):
                         ids.append(i)
                         keys.append(own[k])
@@ -109,7 +85,20 @@ def _suspects(least: int, bits: int, shared):
     return run
 
 
+def _side(shared, bits: int, touched: bool):
+    """The rows whose first column, a hash, passes the filter, or the others."""
+
+    def run(batches):
+        filter_ = opened(shared)
+        for batch in batches:
+            passes = hits(filter_, mix(batch.column(0).to_numpy().view(np.uint64)), bits)
+            yield batch.filter(pa.array(passes if touched else ~passes))
+
+    return run
+
+
 def _rewrite(least: int, n: int):
+    """Texts without the keys to drop, in the column after the first ``n``."""
     def run(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
@@ -140,28 +129,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if least_docs < 2:
         raise ValueError("least_docs must be 2 or more")
-    spark = docs.sparkSession
     text = F.col(text_col)
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(MAX_BITS, max(8 * CHUNK, 1 << (int(lines) * BITS_PER_LINE - 1).bit_length()))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    bits = size_for(docs.agg(F.sum(n_lines)).first()[0] or 1)
     parts = docs.select(text.alias("t")).mapInArrow(_build(least_chars, bits), "chunk int, once binary, twice binary")
     merged = parts.repartition("chunk").mapInArrow(_merge, "chunk int, twice binary")
-    twice = np.zeros(bits // 8, np.uint8)
-    for c, packed in merged.toLocalIterator():
-        twice[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    shared = spark.sparkContext.broadcast(zlib.compress(twice.tobytes(), 1))
+    shared = gathered(merged, bits)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("i"), text.alias("t")).mapInArrow(_suspects(least_chars, bits, shared), f"_id {id_type}, _key binary")
-    pairs = materialize(found, "suspects").groupBy("_key", "_id").agg(F.lit(1).alias("_one"))
-    repeats = pairs.groupBy("_key").agg(F.count("*").alias("_docs"), F.max("_id").alias("_last")).where(F.col("_docs") >= least_docs).select("_key", "_last")
-    drops = pairs.join(repeats, "_key").where(~F.col("_id").eqNullSafe(F.col("_last"))).groupBy("_id").agg(F.collect_list("_key").alias("_drop"))
+    # Both sides of the join are written, so that a key which many documents hold can be split.
+    pairs = materialize(found.distinct(), "suspects")
+    repeats = pairs.groupBy("_key").agg(F.count("*").alias("_docs"), F.max("_id").alias("_last")).where(F.col("_docs") >= least_docs)
+    repeats = materialize(repeats.select("_key", "_last"), "repeats")
+    lost = pairs.join(repeats, "_key").where(~F.col("_id").eqNullSafe(F.col("_last")))
+    drops = materialize(lost.groupBy("_id").agg(F.collect_list("_key").alias("_drop")), "drops")
 
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], text.alias("t"))
-    at = F.col(f"c{others.index(id_col)}")
-    joined = slim.join(drops, at.eqNullSafe(F.col("_id")), "left").drop("_id")
+    plain = docs.select(F.xxhash64(id_col).alias("_h"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], text.alias("t"))
+    names = [f"c{i}" for i in range(len(others))]
+    at = F.col(names[others.index(id_col)])
+    id_bits = size_for(drops.count())
+    ids = members(drops.select(F.xxhash64("_id")), id_bits)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    rest = plain.mapInArrow(_side(ids, id_bits, False), schema)
+    lines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1
+    rest = rest.select(*names, F.col("t").alias("text"), F.coalesce(lines, F.lit(1)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
+    joined = plain.mapInArrow(_side(ids, id_bits, True), schema).join(drops, at.eqNullSafe(F.col("_id")), "left").select(*names, "t", "_drop")
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)] + ["text string, n_lines bigint, n_dropped bigint"])
-    done = joined.mapInArrow(_rewrite(least_chars, len(others)), schema)
+    done = joined.mapInArrow(_rewrite(least_chars, len(others)), schema).union(rest)
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
     return done.select(*[back[c].alias(c) for c in docs.columns if c in back], "n_lines", "n_dropped")
