@@ -49,7 +49,8 @@ RULES = [
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").cast("int").alias("turn"), role.alias("role"), F.lit(MARKED).alias("text"))
     return chat.read_back(chat.format_windows(turns.union(extra)))
 
 
