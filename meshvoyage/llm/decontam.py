@@ -107,6 +107,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     rows are judged each by its own text.  Extra columns are ignored.  Empty tables
     give no rows, or rows without hits.
     """
+    found = _judged(docs, benchmark, window, share, id_col, text_col, item_col)
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """``contamination`` with the columns _id and _text, the text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), words_of(F.col(text_col)).alias("_words"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_item"), words_of(F.col(text_col)).alias("_words")).withColumn("_n", F.size("_words"))
@@ -134,7 +140,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     part = Fraction(share).limit_denominator(1_000_000)  # whole numbers, so that ties are exact
     hit, listed = F.coalesce("_hit", F.lit(0).cast("bigint")), F.coalesce("_items", F.array().cast("array<string>"))
     return joined.select(
-        F.col("_id").alias(id_col),
+        "_id",
+        "_text",
         F.col("_n").alias("n_words"),
         hit.alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"),
@@ -144,8 +151,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated documents; rows with a null id are judged alike."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without the contaminated rows; rows that share an id, or have none, are judged each by its own text."""
+    bad = _judged(docs, benchmark, window, share, id_col, text_col, item_col).where("contaminated")
+    bad = materialize(bad.select(F.col("_id").alias("_bad"), F.col("_text").alias("_bad_text")).distinct(), "contaminated")
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (own == F.col("_bad_text")), "left_anti")
