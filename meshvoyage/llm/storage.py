@@ -9,11 +9,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, so that what a task makes of one stays small."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, rows):
+            yield batch.slice(x, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a new folder, on a local master only."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
