@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter, defaultdict
 from typing import NamedTuple
 
@@ -20,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import slices
+
 #: The model is fitted on about this many labelled documents of each language, chosen
 #: by a hash of their ids; with fewer, on all of them.  It keeps all of their words.
 SAMPLE_ROWS = 2500
@@ -176,18 +177,10 @@ class Scorer:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _predict(shared, key: str):
-    """``key`` names the model, so that a worker keeps the scorer between tasks but not between models."""
-
+def _predict(shared):
     def run(batches):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
-        for batch in batches:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
             found = [scorer(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score"])
@@ -209,6 +202,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).alias("_text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string, score double"])
-    scored = plain.mapInArrow(_predict(shared, uuid.uuid4().hex), schema)
+    scored = plain.mapInArrow(_predict(shared), schema)
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)]
     return scored.select(*back, held_out(F.col(f"c{others.index(id_col)}")).alias("held_out"), "lang_pred", "score")
