@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .storage import materialize, slices
 
 #: Entries of a worker's word cache; older ones go when a half is full.
-WORDS = 400_000
+WORDS = 600_000
 LONGEST = 64  # code points of a cached word
 #: Marks that follow words; the apostrophe is none, as contractions begin with it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -40,11 +40,11 @@ class _Cache(dict):
         self.make, self.size, self.old = make, size // 2, {}
 
     def __missing__(self, key: str) -> bytes:
+        core = key.rstrip(MARKS)
+        if core and len(core) < len(key) and core.isalpha():
+            return self[core] + self[key[len(core) :]]  # a word and marks: each has its entry, both together none
         value = self.old.get(key)
         if value is None:
-            core = key.rstrip(MARKS)
-            if core and len(core) < len(key) and core.isalpha():
-                return self[core] + self[key[len(core) :]]  # a word and marks: each has its entry
             value = self.make(key)
         if len(key) <= LONGEST:
             if len(self) >= self.size:
