@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,11 +11,13 @@ from pyspark.sql import Window as W
 from ..functions.geodesy import case_from_angle, lon_difference, rhumb_distance
 from ..functions.travel import travel_time
 from ..schema import M_PER_DEG_LAT, M_PER_DEG_LON, at_case
-from .mesh import _tile_size
+from .mesh import tile_size
 
 #: Pieces further apart than this many degrees are no continuous route.
 GAP = 0.05
 TINY = 1e-12
+#: Tiles reach this share of their size further, so that rounding loses no border.
+PAD = 1e-6
 #: Pieces up to this share of a leg are slivers at a corner.  Two longer ones that begin within 1e-9 of each other overlap.
 SLIVER = 2e-9
 
@@ -27,38 +31,59 @@ def route_lines(points: DataFrame) -> DataFrame:
     return legs.where("x1 IS NOT NULL AND y1 IS NOT NULL AND (x0 <> x1 OR y0 <> y1)")
 
 
-def _clip(p: Column, d: Column, low: Column, high: Column) -> Column:
-    """struct(enter, leave) of p + t d within low to high."""
-    flat = F.abs(d) < TINY
-    safe = F.when(flat, F.lit(1.0)).otherwise(d)
-    a, b = (low - p) / safe, (high - p) / safe
-    inside = (p >= low - TINY) & (p <= high + TINY)
-    still = F.when(inside, F.struct(F.lit(0.0).alias("enter"), F.lit(1.0).alias("leave"))).otherwise(F.struct(F.lit(1.0).alias("enter"), F.lit(0.0).alias("leave")))
-    return F.when(flat, still).otherwise(F.struct(F.least(a, b).alias("enter"), F.greatest(a, b).alias("leave")))
+def _in_tiles(lines: DataFrame, tile: Column) -> DataFrame:
+    """Legs with _tx and _ty, a row for each tile along the leg: in each column of tiles the rows that it crosses there."""
+    c = F.col
+    column = lambda x: F.floor(x / tile)
+    pad = tile * PAD
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    lines = lines.withColumn("_tx", F.explode(F.sequence(column(F.least("x0", "x1") - pad), column(F.greatest("x0", "x1") + pad))))
+    flat = F.abs(dx) < TINY
+    part = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k * tile - c("x0")) / F.when(flat, F.lit(1.0)).otherwise(dx)))
+    lines = lines.withColumns({
+        "_ya": c("y0") + dy * F.when(flat, F.lit(0.0)).otherwise(part(c("_tx"))),
+        "_yb": c("y0") + dy * F.when(flat, F.lit(1.0)).otherwise(part(c("_tx") + 1)),
+    })
+    rows = F.sequence(column(F.least("_ya", "_yb") - pad), column(F.greatest("_ya", "_yb") + pad))
+    return lines.withColumn("_ty", F.explode(rows)).drop("_ya", "_yb")
 
 
 def cut_at_cells(lines: DataFrame, cells: DataFrame) -> DataFrame:
     """Every piece of a leg in a cell: t_in and t_out along the leg, and its end points.
 
-    Legs and cells meet in tiles as large as the largest cell.  A piece along a common
+    Legs and cells meet in the tiles along a leg, as large as the largest cell.  A piece along a common
     border belongs to the first of the cells in mesh order; a sliver at a corner
     stays and takes no other piece's place.
     """
-    size = F.broadcast(_tile_size(cells))  # one row
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / F.col("_tile")), F.floor(F.greatest(a, b) / F.col("_tile"))))
+    tile = tile_size(cells)
     c = F.col
-    tiled = lines.join(size).withColumn("_tx", span(c("x0"), c("x1"))).withColumn("_ty", span(c("y0"), c("y1"))).drop("_tile")
-    box = F.struct(*cells.columns)
-    held = cells.select(box.alias("cell")).join(size).withColumn("_tx", span(c("cell.cx") - c("cell.dcx"), c("cell.cx") + c("cell.dcx"))).withColumn("_ty", span(c("cell.cy") - c("cell.dcy"), c("cell.cy") + c("cell.dcy"))).drop("_tile")
-    both = tiled.join(held, ["_tx", "_ty"])
-    both = both.withColumns({
-        "_x": _clip(c("x0"), c("x1") - c("x0"), c("cell.cx") - c("cell.dcx"), c("cell.cx") + c("cell.dcx")),
-        "_y": _clip(c("y0"), c("y1") - c("y0"), c("cell.cy") - c("cell.dcy"), c("cell.cy") + c("cell.dcy")),
-    })
-    both = both.withColumns({"t_in": F.greatest(c("_x.enter"), c("_y.enter"), F.lit(0.0)), "t_out": F.least(c("_x.leave"), c("_y.leave"), F.lit(1.0))}).where("t_out - t_in > 1e-12")
+    pad = tile * PAD
+    span = lambda low, high: F.explode(F.sequence(F.floor((c(low) - pad) / tile), F.floor((c(high) + pad) / tile)))
+    step = lambda d: F.when(F.abs(d) >= TINY, d)
+    # Few lines become many pieces, so they are dealt to all tasks; by what the pieces are ranked by.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartition(tasks, "route_id", "leg").withColumns({"_dx": step(c("x1") - c("x0")), "_dy": step(c("y1") - c("y0"))})
+    sides = {"_w": c("cx") - c("dcx"), "_e": c("cx") + c("dcx"), "_s": c("cy") - c("dcy"), "_n": c("cy") + c("dcy")}
+    held = cells.withColumns(sides).select(F.struct(*cells.columns).alias("cell"), *sides)
+    held = held.withColumn("_tx", span("_w", "_e")).withColumn("_ty", span("_s", "_n"))
+
+    def within(p: str, d: str, low: str, high: str) -> tuple[Column, Column]:
+        """Where a leg enters and leaves a strip; one along it is inside from 0 to 1, or nowhere."""
+        a, b = (c(low) - c(p)) / c(d), (c(high) - c(p)) / c(d)
+        inside = (c(p) >= c(low) - TINY) & (c(p) <= c(high) + TINY)
+        still = F.when(inside, 0.0).otherwise(2.0)
+        return F.when(c(d).isNull(), still).otherwise(F.least(a, b)), F.when(c(d).isNull(), 1.0).otherwise(F.greatest(a, b))
+
+    x, y = within("x0", "_dx", "_w", "_e"), within("y0", "_dy", "_s", "_n")
+    piece = F.struct(F.greatest(x[0], y[0], F.lit(0.0)).alias("t_in"), F.least(x[1], y[1], F.lit(1.0)).alias("t_out"))
+    # Filtered inside the array: a condition of its own would be copied into the join, each part several times.
+    real = F.filter(F.array(piece), lambda p: p["t_out"] - p["t_in"] > 1e-12)
+    both = _in_tiles(dealt, tile).join(held, ["_tx", "_ty"]).withColumn("_p", F.explode(real)).withColumns({"t_in": c("_p.t_in"), "t_out": c("_p.t_out")})
     mark = F.round(c("t_in") * 1e9).cast("bigint")
-    first = F.row_number().over(W.partitionBy("route_id", "leg", "_mark", "_sliver").orderBy(c("cell.id").cast("double").asc_nulls_last(), c("cell.id")))
-    once = both.withColumns({"_mark": mark, "_sliver": c("t_out") - c("t_in") <= SLIVER}).withColumn("_nth", first).where("_sliver OR _nth = 1")
+    beside = W.partitionBy("route_id", "leg", "_mark", "_sliver").orderBy(c("cell.id").cast("double").asc_nulls_last(), c("cell.id"))
+    ranked = both.withColumns({"_mark": mark, "_sliver": c("t_out") - c("t_in") <= SLIVER})
+    ranked = ranked.withColumns({"_nth": F.row_number().over(beside), "_same": c("cell.id").eqNullSafe(F.lag("cell.id").over(beside))})
+    once = ranked.where("_nth = 1 OR (_sliver AND NOT _same)")  # a leg may meet a cell in several tiles
     at = lambda t: {"x": c("x0") + (c("x1") - c("x0")) * t, "y": c("y0") + (c("y1") - c("y0")) * t}
     a, b = at(c("t_in")), at(c("t_out"))
     return once.select("route_id", "leg", "t_in", "t_out", "cell", a["x"].alias("start_lon"), a["y"].alias("start_lat"), b["x"].alias("end_lon"), b["y"].alias("end_lat"))
@@ -99,3 +124,33 @@ def cost_route(points: DataFrame, cells: DataFrame, region: dict | None = None)
     pieces = pieces.withColumn("fuel", rate * c("traveltime"))
     pieces = pieces.withColumns({f"cum_{m}": F.sum(m).over(so_far) for m in ("distance", "traveltime", "fuel")})
     return pieces.select("route_id", "seq", "leg", c("cell.id").alias("cell"), "case", "start_lon", "start_lat", "end_lon", "end_lat", "distance", "traveltime", "fuel", "cum_distance", "cum_traveltime", "cum_fuel", "borrowed", "gap")
+
+
+def chained(pieces: DataFrame, most_apart: float = GAP) -> DataFrame:
+    """Pieces of each route (start_lon, start_lat, end_lon, end_lat) in the order in which they continue one another.
+
+    The first is the one with the least ``seq``; each next one is, of those left, the
+    one that begins nearest to where the last one ended, if within ``most_apart``
+    degrees.  ``place`` counts from 0; pieces that nothing leads to have none.
+    """
+
+    def order(route: pd.DataFrame) -> pd.DataFrame:
+        route = route.sort_values("seq").reset_index(drop=True)
+        begin, end = route[["start_lon", "start_lat"]].to_numpy(float), route[["end_lon", "end_lat"]].to_numpy(float)
+        left, place = np.ones(len(route), bool), np.full(len(route), -1)
+        at = 0
+        for n in range(len(route)):
+            left[at], place[at] = False, n
+            away = np.where(left, np.hypot(*(begin - end[at]).T), np.inf)
+            at = int(away.argmin())
+            if not away[at] <= most_apart:
+                break
+        return route.assign(place=pd.array(np.where(place < 0, None, place), "Int64"))
+
+    return pieces.groupBy("route_id").applyInPandas(order, pieces.drop("place").schema.add("place", "bigint"))
+
+
+def route_summary(pieces: DataFrame) -> DataFrame:
+    """Per route: pieces, the number of distinct cells crossed, and its totals."""
+    totals = [F.sum(m).alias(f"total_{m}") for m in ("distance", "traveltime", "fuel") if m in pieces.columns]
+    return pieces.groupBy("route_id").agg(F.count("*").alias("pieces"), F.count_distinct("cell").alias("cells_crossed"), *totals)

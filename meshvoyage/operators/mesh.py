@@ -129,18 +129,18 @@ def split_around_points(cells: DataFrame, points: DataFrame, width: float, heigh
     return cells
 
 
-def _tile_size(cells: DataFrame) -> DataFrame:
-    return cells.agg(F.max(F.greatest("dcx", "dcy") * 2).alias("_tile"))
+def tile_size(cells: DataFrame) -> Column:
+    """The largest width or height of the cells, one number: a literal, so that tiles are plain arithmetic in the plan."""
+    return F.lit(cells.agg(F.max(F.greatest("dcx", "dcy") * 2)).first()[0]).cast("double")
 
 
 def located_all(points: DataFrame, cells: DataFrame, x: str = "Long", y: str = "Lat") -> DataFrame:
     """Every pair of a point and a cell that holds it, borders included."""
-    size = F.broadcast(_tile_size(cells))  # one row
-    tiled = cells.join(size).withColumns({
-        "_tx": F.sequence(F.floor((F.col("cx") - F.col("dcx")) / F.col("_tile")), F.floor((F.col("cx") + F.col("dcx")) / F.col("_tile"))),
-        "_ty": F.sequence(F.floor((F.col("cy") - F.col("dcy")) / F.col("_tile")), F.floor((F.col("cy") + F.col("dcy")) / F.col("_tile"))),
-    }).withColumn("_tx", F.explode("_tx")).withColumn("_ty", F.explode("_ty")).drop("_tile")
-    at = points.join(size).withColumns({"_tx": F.floor(F.col(x) / F.col("_tile")), "_ty": F.floor(F.col(y) / F.col("_tile"))}).drop("_tile")
+    tile = tile_size(cells)
+    # A little beyond the borders, so that rounding parts no point on a border from its cells.
+    span = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - F.col(d)) / tile - 1e-9), F.floor((F.col(c) + F.col(d)) / tile + 1e-9)))
+    tiled = cells.withColumn("_tx", span("cx", "dcx")).withColumn("_ty", span("cy", "dcy"))
+    at = points.withColumns({"_tx": F.floor(F.col(x) / tile), "_ty": F.floor(F.col(y) / tile)})
     inside = (F.abs(F.col(x) - F.col("cx")) <= F.col("dcx") + 1e-12) & (F.abs(F.col(y) - F.col("cy")) <= F.col("dcy") + 1e-12)
     return at.join(tiled, ["_tx", "_ty"]).where(inside).drop("_tx", "_ty")
 
@@ -204,3 +204,17 @@ def adjust(points: DataFrame, cells: DataFrame, name: str = "Name", most_degrees
     step = enter + reach / F.when(whole == 0, F.lit(1.0)).otherwise(whole)
     joined = points.join(best, name, "left")
     return joined.withColumns({"Long": F.when(moved, F.col("Long") + dx * step).otherwise(F.col("Long")), "Lat": F.when(moved, F.col("Lat") + dy * step).otherwise(F.col("Lat"))}).select(*points.columns)
+
+
+def boundary(cells: DataFrame) -> DataFrame:
+    """Cells with the coordinates of their sides: min_long, max_long, min_lat, max_lat."""
+    c = F.col
+    return cells.withColumns({"min_long": c("cx") - c("dcx"), "max_long": c("cx") + c("dcx"), "min_lat": c("cy") - c("dcy"), "max_lat": c("cy") + c("dcy")})
+
+
+def with_common_boundary(cells: DataFrame, others: DataFrame) -> DataFrame:
+    """The cells whose sides are those of one of ``others`` too, to a 1e-9th of a degree."""
+    sides = ("min_long", "max_long", "min_lat", "max_lat")
+    keyed = lambda df: boundary(df).withColumns({f"_{n}": _key(F.col(n)) for n in sides})
+    keys = [f"_{n}" for n in sides]
+    return keyed(cells).join(keyed(others).select(*keys).distinct(), keys, "left_semi").select(*cells.columns)
