@@ -26,8 +26,10 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 COLUMNS = "key string, record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length bigint, block_digest string, payload_digest string, headers map<string,string>, block binary"
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(rf"</?(?:{BLOCKS})\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
+#: The rest of a tag; a quoted value may hold ``>``.
+_REST = r"""(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>"""
+_BLOCK = re.compile(rf"</?(?:{BLOCKS})\b{_REST}", re.I)
+_TAG = re.compile(rf"<[!/?a-zA-Z]{_REST}")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -160,14 +162,25 @@ def to_members(records: DataFrame) -> DataFrame:
     return records.mapInArrow(_files, "member binary")
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines after the first; values of a repeated name are joined by commas, as HTTP reads them."""
+    found: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip(), value.strip()
+            found[name] = f"{found[name]}, {value}" if name in found else value
+    return found
+
+
 def parse(archive: bytes) -> Iterator[dict]:
     """Records of a WARC file, gzipped or not: type, ids, headers and block."""
     data = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", start)
-        fields = dict(x.split(": ", 1) for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])
-        size = int(fields["Content-Length"])
+        fields = _fields(data[start:end])
+        size = int(fields.get("Content-Length") or 0)
         yield {"record_type": fields.get("WARC-Type"), "record_id": fields.get("WARC-Record-ID"), "refers_to": fields.get("WARC-Refers-To"), "target_uri": fields.get("WARC-Target-URI"), "date": fields.get("WARC-Date"), "fields": fields, "block": data[end + 4 : end + 4 + size]}
         at = end + 4 + size
 
@@ -179,8 +192,8 @@ def _parsed(batches) -> Iterator[pa.RecordBatch]:
             for r in parse(content or b""):
                 if r["record_type"] == "response":
                     head, _, body = r["block"].partition(b"\r\n\r\n")
-                    headers = [tuple(x.split(": ", 1)) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x]
-                    rows.append((r["record_id"], r["target_uri"], r["date"], headers, decoded(body, dict(headers)), body, r["fields"].get("WARC-Payload-Digest"), r["fields"].get("WARC-Block-Digest")))
+                    headers = _fields(head)
+                    rows.append((r["record_id"], r["target_uri"], r["date"], list(headers.items()), decoded(body, headers), body, r["fields"].get("WARC-Payload-Digest"), r["fields"].get("WARC-Block-Digest")))
         types = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["record_id", "target_uri", "date", "headers", "html", "payload", "payload_digest", "block_digest"])
 

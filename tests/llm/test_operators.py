@@ -277,3 +277,98 @@ def test_warc_reader_keeps_payloads_and_digests(spark, tmp_path):
             assert bytes(r.block).decode() == "Füße"
         else:
             assert f"source-block-digest: sha1:BLOCK{i}" in bytes(r.block).decode() and f"source-length: {len(bodies[int(i)][1])}" in bytes(r.block).decode()
+
+
+def test_warc_odd_input(spark):
+    assert warc.plain_text("<p>a <a title='x>y' href=\"q>z\">hi</a> b<p>don't <b class=it's>stop</b> it's") == "a hi b\ndon't stop it's"
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nX-Empty:\r\n\r\nbody"
+    archive = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nX-None:\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    record = next(warc.parse(archive))
+    assert record["block"] == block and record["fields"]["X-None"] == ""
+    assert warc._fields(block.partition(b"\r\n\r\n")[0]) == {"Set-Cookie": "a, b", "X-Empty": ""}
+    long = "<p>" + "word " * 200_000
+    rows = [(1, "u", long), (1, "u", long), (2, "u", ""), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "k", "h") for r in rows], "page_id long, url string, html string, key string, headers string")
+    got = warc.derivatives(warc.responses_of(pages)).collect()
+    assert len(got) == 8 and sum(bytes(r.block) == ("word " * 200_000).strip().encode() for r in got) == 2
+    assert {r.content_length for r in got if r.record_type == "conversion"} == {len(("word " * 200_000).strip()), 0}
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(9)
+    lines = [f"{r.choice(['  ', ''])}Some line number {k} of the text{r.choice(['', ' ', chr(9)])}" for k in range(40)] + ["short", "", "É" * 20, "e" * 19 + "É"]
+    rows = [(i, r.choice([None, ""]) if i % 17 == 0 else "\n".join(r.choices(lines, k=r.choice((1, 3, 12)))), "en") for i in range(120)] + [(200, "x " * 100_000 + "\n" + lines[0], "en")]
+    key = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    held = {}
+    for i, t, _ in rows:
+        for x in (t or "").split("\n"):
+            held.setdefault(key(x), set()).add(i)
+    gone = {k: max(ids) for k, ids in held.items() if len(k) >= 20 and len(ids) >= 3}
+    df = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, lang string, n_lines int")
+    got = {x.doc_id: x for x in linededup.dedup_lines(df).collect()}
+    assert len(got) == len(rows) and sum(x.n_dropped > 0 for x in got.values()) > 50
+    for i, t, _ in rows:
+        whole = (t or "").split("\n")
+        kept = [x for x in whole if key(x) not in gone or gone[key(x)] == i]
+        assert (got[i].text or "", got[i].n_lines, got[i].n_dropped) == ("\n".join(kept), len(whole), len(whole) - len(kept))
+
+
+def test_language_scores_against_plain_python(spark):
+    """The scores of whole texts by the definition: words first, else the longest known n-grams."""
+    r = random.Random(6)
+    words = {lang: ["".join(r.choices(letters, k=r.randint(1, 7))) for _ in range(60)] for lang, letters in (("aa", "abcdé"), ("bb", "cdefg"), ("cc", "fghæi"))}
+    rows = [(i, " ".join(r.choices(words[lang], k=30)), lang) for i, lang in enumerate(r.choices(list(words), k=90))]
+    rows += [(500, "Abæd zzzz q 7 " * 30_000, None), (501, "", None), (502, rows[0][1], None), (502, rows[0][1], None)]
+    seen = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in seen})
+    tables = {n: {} for n in (0, 5, 4, 3, 2, 1)}
+    for t, lang in seen:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for n in tables:
+                for g in [w] if n == 0 else langid._grams_of(w, n):
+                    tables[n].setdefault(g, dict.fromkeys(langs, 0))[lang] += 1
+    logs = {}
+    for n, own in tables.items():
+        total = {x: sum(c[x] for c in own.values()) for x in langs}
+        logs[n] = {}
+        for g, c in own.items():
+            v = np.array([np.log(c[x] + 0.5) - np.log(total[x] + 0.5 * len(own)) for x in langs])
+            logs[n][g] = v - v.mean()
+
+    def score(word):
+        if word in logs[0]:
+            return logs[0][word]
+        for n in (5, 4, 3, 2, 1):
+            found = [logs[n][g] for g in langid._grams_of(word, n) if g in logs[n]]
+            if found:
+                return sum(found) / n
+        return np.zeros(len(langs))
+
+    df = spark.createDataFrame([(*x, True, "x", 1) for x in rows], "doc_id long, text string, lang string, held_out boolean, lang_pred string, score int")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if not x.text:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        total = sum(score(w) for w in re.findall(r"[^\W\d_]+", x.text.lower()))
+        odds = np.exp(total - total.max())
+        assert x.lang_pred == langs[int(odds.argmax())] and x.score == pytest.approx(float(odds.max() / odds.sum()), abs=1e-3)
+
+
+def test_url_filter_with_redirects_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from meshvoyage.llm.queries import ORACLES
+
+    r = random.Random(12)
+    urls = [f"https://h{i}.example.{r.choice(['org', 'com', 'net'])}/{r.choice(['es', 'en', 'de', 'fr'])}/{i}" for i in range(60)]
+    pages = [(i, u, f'<link rel="canonical" href="{r.choice(urls)}">' if r.random() < 0.4 else r.choice([None, ""])) for i, u in enumerate(urls)]
+    pages += [(100, urls[0], None), (101, urls[0] + "#part", f'<link rel="canonical" href="{urls[1]}">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    expected = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op7_url_filter']})").fetchall())
+    got = sorted(tuple(x) for x in urlfilter.judge(df, RULES).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == expected and {x[3] is None and x[4] for x in got} == {False, "allow", "block"}
