@@ -372,3 +372,15 @@ def test_url_filter_with_redirects_equals_its_sql(spark, tmp_path):
     expected = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op7_url_filter']})").fetchall())
     got = sorted(tuple(x) for x in urlfilter.judge(df, RULES).select("page_id", "host", "path", "rule", "verdict").collect())
     assert got == expected and {x[3] is None and x[4] for x in got} == {False, "allow", "block"}
+
+
+def test_html_text_on_pages_written_by_hand(spark):
+    """Layouts that no training page has; blocks of main text, 16 of 18 found, and 16 of 18 given are right."""
+    from hand_pages import PAGES
+
+    df = spark.createDataFrame([(i, f"u{i}", html, 1) for i, (html, _) in enumerate(PAGES)] + [(0, "u0", PAGES[0][0], 1)], "page_id int, url string, html string, n_chars int")
+    got = htmltext.extract(df).collect()
+    assert len(got) == len(PAGES) + 1 and len({x.text for x in got if x.page_id == 0}) == 1
+    texts = {x.page_id: x.text.split("\n\n") for x in got}
+    right = sum(len(set(texts[i]) & set(blocks)) for i, (_, blocks) in enumerate(PAGES))
+    assert right >= 0.85 * sum(len(blocks) for _, blocks in PAGES) and right >= 0.85 * sum(map(len, texts.values()))

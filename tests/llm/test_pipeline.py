@@ -27,3 +27,22 @@ def test_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == left[-1]
     assert packed.agg(F.max("offset")).first()[0] < 2048
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Null and repeated ids are rows like others; an empty table gives no pieces."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(n))
+    rows = [(i, text(40), "en", "s", 0) for i in range(12)]
+    twin, bad = text(30), text(30)
+    rows += [(None, text(40), None, None, None), (20, twin, "en", "s", 0), (20, bad, "en", "s", 0), (21, "", "en", "s", 0), (22, text(9000), "en", "s", 0)]
+    spark.createDataFrame([(1, bad), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    got = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
+    assert {x.doc_id for x in got} == {*range(12), None, 20, 22} and all(x.n == x["all"] for x in got)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
