@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.geodesy import case_from_angle, lon_difference, rhumb_distance
@@ -147,7 +148,7 @@ def chained(pieces: DataFrame, most_apart: float = GAP) -> DataFrame:
                 break
         return route.assign(place=pd.array(np.where(place < 0, None, place), "Int64"))
 
-    return pieces.groupBy("route_id").applyInPandas(order, pieces.drop("place").schema.add("place", "bigint"))
+    return pieces.groupBy("route_id").applyInPandas(order, T.StructType([*pieces.drop("place").schema.fields, T.StructField("place", T.LongType())]))
 
 
 def route_summary(pieces: DataFrame) -> DataFrame:

@@ -301,3 +301,67 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "m19_travel_time" in entry.queries()
+
+
+def test_chained_pieces_follow_one_another(spark):
+    rows = [("1", 0, 0.0, 1.0), ("1", 5, 2.01, 3.0), ("1", 9, 1.02, 2.0), ("1", 7, 9.0, 9.5), ("2", 3, 0.0, 1.0)]
+    pieces = spark.createDataFrame([(r, s, a, 0.0, b, 0.0) for r, s, a, b in rows], "route_id string, seq int, start_lon double, start_lat double, end_lon double, end_lat double")
+    got = {(r.route_id, r.seq): r.place for r in costing.chained(pieces).collect()}
+    assert got == {("1", 0): 0, ("1", 9): 1, ("1", 5): 2, ("1", 7): None, ("2", 3): 0}
+
+
+def test_a_ship_of_ones_own(spark):
+    class Steady(vessel.Ship):
+        def resistance(self, speed, cells):
+            return F.lit(1000.0)
+
+        def fuel(self, speed, resistance):
+            return resistance / 100.0
+
+    cells = spark.createDataFrame([("a", -100.0, 50.0, 1.0, 900.0)], "id string, elevation double, SIC double, thickness double, density double")
+    done = vessel.with_performance(vessel.with_accessibility(cells, Steady(SHIP)), Steady(SHIP)).first()
+    assert done.speed == [26.5] * 8 and done.ice_resistance == 1000.0 and done.fuel == [10.0] * 8
+
+
+def test_routing_table_and_time_within_a_cell(spark):
+    hops = spark.createDataFrame([("a", "c", 0, "a", "b", 1.0), ("a", "c", 1, "b", "c", 2.5)], "source string, target string, hop int, src string, dst string, cost double")
+    assert [(r.cell, r.via, r.cost) for r in paths.routing_table(hops).orderBy("hop").collect()] == [("b", "a", 1.0), ("c", "b", 3.5)]
+    lit = [F.lit(x) for x in (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 2.0)]
+    assert value(spark, travel.time_between(*lit)) == pytest.approx(111321.0 / 2)
+
+
+def test_command_line(spark, tmp_path):
+    from meshvoyage.cli import main
+
+    cells = [{"id": str(i), "geometry": "", "cx": 2.5 + 5 * i, "cy": 0.0, "dcx": 2.5, "dcy": 1.25, "uC": 0.0, "vC": 0.0, "SIC": 0.0, "elevation": -100.0, "thickness": 1.0, "density": 900.0} for i in range(3)]
+    graph = {str(i): {str(c): [] for c in (1, 2, 3, 4, -1, -2, -3, -4)} for i in range(3)}
+    for i in range(2):
+        graph[str(i)]["2"], graph[str(i + 1)]["-2"] = [i + 1], [i]
+    region = {"lat_min": -1.25, "lat_max": 1.25, "long_min": 0.0, "long_max": 15.0}
+    files = {
+        "mesh": {"config": {"mesh_info": {"region": region}}, "cellboxes": cells, "neighbour_graph": graph},
+        "ship": {"vessel_type": "SDA", "max_speed": 26.5, "unit": "km/hr", "beam": 24.0, "hull_type": "slender", "force_limit": 96634.5, "max_ice_conc": 80, "min_depth": 10},
+        "route": {"objective_function": "fuel", "path_variables": ["fuel", "traveltime"], "vector_names": ["uC", "vC"]},
+    }
+    for name, doc in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    (tmp_path / "points.csv").write_text("Name,Lat,Long,Source,Destination\nA,0.5,1.0,X,\nB,-0.5,14.0,,X\n")
+    (tmp_path / "drawn.csv").write_text("Name,Lat,Long\nA,0.5,1.0\nM,0.0,7.0\nB,-0.5,14.0\n")
+    at = lambda n: str(tmp_path / n)
+    assert main(["add-vehicle", at("ship.json"), at("mesh.json"), "-o", at("vessel.json")]) == 0
+    assert main(["resimulate-vehicle", at("vessel.json"), "-o", at("again.json")]) == 0
+    speeds = [[c["speed"] for c in json.loads((tmp_path / f"{n}.json").read_text())["cellboxes"]] for n in ("vessel", "again")]
+    assert speeds[0] == speeds[1] == [[26.5] * 8] * 3
+    assert main(["optimise-routes", at("route.json"), at("vessel.json"), at("points.csv"), "-o", at("out.json"), "-p", "-d", "--path-gpx", "--path-kml", "--chart-track"]) == 0
+    assert {p.name for p in tmp_path.iterdir()} >= {"out.json", "out.geojson", "out_dijkstra.json", "out_dijkstra.geojson", "out_AB.gpx", "out_AB.kml", "out.r0.csv"}
+    made = json.loads((tmp_path / "out.json").read_text())
+    assert len(made["paths"]["features"]) == 1 and made["paths"]["features"][0]["properties"]["to"] == "B"
+    assert main(["extract-routes", at("out.json"), "-o", at("one.gpx")]) == 0 and (tmp_path / "one_AB.gpx").exists()
+    assert main(["extract-routes", at("out.json"), "-o", at("one.txt")]) == 1
+    assert main(["calculate-route", at("vessel.json"), at("drawn.csv"), "-o", at("cost.json")]) == 0
+    cost = json.loads((tmp_path / "cost.json").read_text())["features"][0]["properties"]
+    assert cost["from"] == "A" and cost["traveltime"][-1] > 0
+    points, begin, end = readers.read_route(spark, at("out_AB.gpx"))
+    assert points.count() == len(made["paths"]["features"][0]["geometry"]["coordinates"])
+    with pytest.raises(TypeError):
+        readers.document(3)
