@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .storage import materialize, slices
+from .storage import held, materialize, slices
 
 #: Entries of a worker's word cache; older ones go when a half is full.
 WORDS = 600_000
 LONGEST = 64  # code points of a cached word
 #: Marks that follow words; the apostrophe is none, as contractions begin with it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_OWN: dict[str, "WordTokenizer"] = {}
+OWNER = "packing"
 
 
 class _Cache(dict):
@@ -96,10 +96,11 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for ``path``, loaded once."""
-    if path not in _OWN:
-        _OWN[path] = WordTokenizer(path)
-    return _OWN[path]
+    """The worker's tokenizer for ``path``, kept with its cache until another operator's task begins."""
+    own = held(OWNER)
+    if path not in own:
+        own[path] = WordTokenizer(path)
+    return own[path]
 
 
 def _encode(path: str, end_id: int):
@@ -107,7 +108,7 @@ def _encode(path: str, end_id: int):
 
     def run(batches):
         own, part, start = tokenizer(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, OWNER):
             ids = [own.ids(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = start + np.cumsum(n) - n
@@ -121,7 +122,7 @@ def _encode(path: str, end_id: int):
 def _cut(window: int, bases, ids_wanted: bool, digests: bool):
     def run(batches):
         base = bases.value
-        for batch in slices(batches):
+        for batch in slices(batches, keep=OWNER):
             rows = {k: [] for k in ("_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32")}
             for i, part, start, n, packed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 ids = packed if len(packed) == 4 * n else np.frombuffer(packed, "<u2").astype("<u4").tobytes()

@@ -6,9 +6,9 @@ any executor.  The folder is the one the cluster names in ``spark.checkpoint.dir
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows``, so that what a task makes of one stays small."""
+#: What a Python worker keeps from one task to the next, by operator.
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """The store that a worker keeps for the tasks of ``owner`` until a task of another operator begins."""
+    return _HELD.setdefault(owner, {})
+
+
+def forget(keep: str | None = None) -> None:
+    """Drop what the worker holds for operators other than ``keep``, and return freed memory to the system."""
+    for owner in [k for k in _HELD if k != keep]:
+        del _HELD[owner]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, so that what a task makes of one stays small; see ``forget``."""
+    forget(keep)
     for batch in batches:
         for x in range(0, batch.num_rows, rows):
             yield batch.slice(x, rows)
