@@ -217,6 +217,20 @@ def test_both_searches_take_the_same_of_equal_paths(spark, monkeypatch):
     assert hops() == held
 
 
+def test_edges_that_cost_nothing_make_no_loop(spark, monkeypatch):
+    # From p, q and t one can go round for nothing; q is reached at once, or at the same cost by x.
+    costs = {"sp": 1.0, "sq": 1.0, "pq": 0.0, "qp": 0.0, "pt": 0.0, "qt": 0.0, "tp": 0.0, "sx": 0.5, "xq": 0.5, "tu": 0.0, "uv": 0.0, "vt": 0.0, "ps": 0.0}
+    edges = spark.createDataFrame([(k[0], k[1], c, 0.0) for k, c in costs.items()], "src string, dst string, t1 double, t2 double")
+    requests = spark.createDataFrame([("s", t) for t in "qtvsz"], "source string, target string")
+    ways = lambda: walked(paths.shortest_paths(edges, requests).orderBy("hop").collect())
+    walked = lambda rows: {t: way for t in "qtvsz" if (way := [r.src + r.dst for r in rows if r.target == t])}
+    expected = {"q": ["sq"], "t": ["sp", "pt"], "v": ["sp", "pt", "tu", "uv"]}
+    assert ways() == expected
+    monkeypatch.setattr(paths, "SEARCH_EDGES", 1)
+    monkeypatch.setattr(paths, "MERGE_ROUNDS", 2)
+    assert ways() == expected
+
+
 def test_query_routes_are_smoothed_with_the_default_passes():
     from meshvoyage.plans import queries
 
