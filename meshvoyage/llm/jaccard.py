@@ -4,7 +4,8 @@ Sets of sizes that can reach the threshold differ in at most H shingles, H being
 fixed by a band of sizes.  A band's universe is hashed into more than H segments, so
 two similar sets agree in some whole segment; or into about half as many, where some
 segment differs in one shingle at most, which one-deletion neighbourhoods find.  The
-cheaper allocation is chosen for each band.  Of its exact segments a set leaves out
+cheaper allocation is chosen for each band, but not neighbourhoods that write many
+times the rows of whole segments.  Of its exact segments a set leaves out
 the smallest ones beyond those the pigeonhole needs: all sets rank segments by the
 same rule (their shingles' number, then their hash), so two similar sets still keep
 a common one.  Candidates are verified on their whole sets.
@@ -19,6 +20,7 @@ block gives verified links alone, fewer than it has members.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -30,16 +32,20 @@ from pyspark.sql import functions as F
 
 from .bloom import hits, members, mix, opened, size_for
 from .components import connected_components
-from .storage import materialize, slices
+from .storage import discard, materialize, release, slices
 
 SPREAD = 2.0  # largest size of a band over its smallest
 SLACK = 0.06  # more segments than needed, by this share of them and three
 #: For the choice of allocation: the share of shingles taken to be common to many
 #: documents, and the cost of a candidate pair in signature rows.
 COMMON, PAIR_COST = 0.02, 4.0
+#: Neighbourhoods may write so many times the signatures of whole segments.
+MOST_ROWS = 2.0
 SKETCH = 1024  # bits of the parity sketch
 #: Members of a group, and their shingles, that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Blocks travel in rounds, each of about this share of all shingles, or so many at least.
+ROUND_SHARE, ROUND_SHINGLES = 1 / 2, 1 << 24
 #: Signatures that one task groups, about.
 BUCKET_ROWS = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C55)
@@ -79,17 +85,46 @@ def differing(a: int, b: int, threshold: Fraction) -> int:
     return int((a + b) * (1 - threshold) / (1 + threshold))
 
 
+def _agreeing(kind: str, size: int, segments: int, kept: float) -> float:
+    """How often a segment's signatures of two unrelated sets of ``size`` agree, about.
+
+    A segment's size is binomial; of whole segments the largest ones are kept, a share
+    ``kept``.  Small segments count most: two empty ones agree, whatever the sets hold.
+    """
+    p = 1 / segments
+    near = int(kind == "deletion")
+
+    def chance(s: int) -> float:  # that a segment has s shingles
+        if s > size:
+            return 0.0
+        ways = math.lgamma(size + 1) - math.lgamma(s + 1) - math.lgamma(size - s + 1)
+        return math.exp(ways + s * math.log(p)) * (1 - p) ** (size - s)
+
+    def alone(s: int) -> float:  # that a segment with s given shingles has no other, or one that is deleted
+        rest = size - s
+        return (1 - p) ** rest + near * rest * p * (1 - p) ** max(0, rest - 1)
+
+    most = min(size, int(size * p + 12 * math.sqrt(size * p) + 12))
+    left, out = kept, 0.0
+    for s in range(most, -1, -1):
+        share = min(left, chance(s))
+        left -= share
+        out += (share + near * (s + 1) * chance(s + 1)) * COMMON**s * alone(s)
+    return out
+
+
 def allocate(span: tuple[int, int], sets: int, threshold: Fraction) -> tuple[str, int]:
     """("exact" or "deletion", number of segments) of a band with ``sets`` sets."""
-    high, mean = span[1], (span[0] + span[1]) / 2
+    high, mean = span[1], (span[0] + span[1]) // 2
     need = differing(high, high, threshold) + 1
     exact = need + (0 if need == 1 else 3 + int(SLACK * need))
     halved = (need + 1) // 2
+    kept = min(exact, differing(mean, min(int(mean / threshold), high), threshold) + 1)
 
-    def cost(segments: int, rows: float, shortest: float) -> float:
-        return sets * rows + PAIR_COST * sets * sets * segments * COMMON ** max(1.0, shortest)
+    def cost(kind: str, segments: int, rows: float, share: float) -> float:
+        return sets * rows + PAIR_COST * sets * sets * segments * _agreeing(kind, mean, segments, share)
 
-    if need > 1 and cost(halved, halved + mean, mean / halved - 1) < cost(need, need, mean / need):
+    if need > 1 and halved + mean <= MOST_ROWS * kept and cost("deletion", halved, halved + mean, 1.0) < cost("exact", exact, kept, kept / exact):
         return "deletion", halved
     return "exact", exact
 
@@ -397,14 +432,23 @@ class _Join:
         maybe = materialize(sized.where("sa IS NOT NULL").mapInArrow(_bounded(self.num, self.den), "a bigint, b bigint").distinct(), "maybe")
         own = self.sets(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = maybe.join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a bigint, b bigint").union(equal).distinct(), "links")
+        links = materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a bigint, b bigint").union(equal).distinct(), "links")
+        for done in (own, maybe, sized):
+            discard(done)
+        return links
 
     def components(self) -> DataFrame:
+        spark = self.docs.sparkSession
         stars = self.stars()
+        release(spark)
         pairs = materialize(stars.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), "candidates")
         links = materialize(self.linked(pairs).union(self.equal()), "links")
+        discard(pairs)
+        release(spark)
         comp = connected_components(links)
         found = self.within(stars, comp)
+        discard(stars)
+        release(spark)
         return comp if found.isEmpty() else connected_components(links.union(found))
 
     def within(self, stars: DataFrame, comp: DataFrame) -> DataFrame:
@@ -414,24 +458,42 @@ class _Join:
         apart = F.coalesce("crep", "rep") != F.coalesce("cdoc", "doc")
         # A group may have several stars, one from each batch; its smallest id names it.
         open_ = classed.groupBy("sig").agg(F.bool_or(apart).alias("apart"), F.min("rep").alias("top")).where("apart").select("sig", "top")
-        rows = stars.join(materialize(open_, "open"), "sig").select(F.col("top").alias("rep"), F.explode(F.array("rep", "doc")).alias("doc"), "sig")
-        units = materialize(rows.groupBy("rep", "doc").agg(F.collect_set("sig").alias("sigs")), "units")
-        units = units.join(of("rep"), "rep", "left").join(of("doc"), "doc", "left").join(self.table.select(F.col("id").alias("doc"), "n"), "doc")
+        open_ = materialize(open_, "open")
+        rows = stars.join(open_, "sig").select(F.col("top").alias("rep"), F.explode(F.array("rep", "doc")).alias("doc"), "sig")
+        named = materialize(rows.groupBy("rep", "doc").agg(F.collect_set("sig").alias("sigs")), "named")
+        discard(open_)
+        units = named.join(of("rep"), "rep", "left").join(of("doc"), "doc", "left").join(self.table.select(F.col("id").alias("doc"), "n"), "doc")
         # The representative's class is one side; its members are not held against each other.
         own_class = F.coalesce("cdoc", "doc") == F.coalesce("crep", "rep")
-        units = materialize(units.select("rep", "doc", F.coalesce("cdoc", "doc").alias("comp"), own_class.alias("near"), "n", "sigs"), "units")
+        written = units = materialize(units.select("rep", "doc", F.coalesce("cdoc", "doc").alias("comp"), own_class.alias("near"), "n", "sigs"), "units")
+        discard(named)
         blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))).cast("int")
         small = (F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)
         dealt = units.groupBy("rep").agg(small.alias("small"), blocks(F.col("near")).alias("g"), blocks(~F.col("near")).alias("h"))
-        units = units.join(materialize(dealt, "dealt"), "rep")
+        dealt = materialize(dealt, "dealt")
+        units = units.join(dealt, "rep")
         place = F.pmod(F.xxhash64("doc"), F.when(F.col("near"), F.col("g")).otherwise(F.col("h"))).cast("int") + F.when(F.col("near"), 0).otherwise(F.col("g"))
         units = units.withColumn("block", F.when(F.col("small"), 0).otherwise(place))
         others = F.sequence(F.when(F.col("near"), F.col("g")).otherwise(0), F.col("g") + F.col("h") - 1)
         units = units.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
-        own = self.sets(units.select(F.col("doc").alias("id")).distinct()).select(F.col("id").alias("doc"), "own")
-        full = units.join(own, "doc").select("rep", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "block", "sigs", "own")
-        sorted_ = full.repartition("rep", "lo", "hi").sortWithinPartitions("rep", "lo", "hi")
-        return materialize(sorted_.mapInArrow(_within(self.num, self.den), "a bigint, b bigint").distinct(), "more")
+        sets = self.sets(units.select(F.col("doc").alias("id")).distinct())
+        own = sets.select(F.col("id").alias("doc"), "own")
+        units = units.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        # A round's blocks are written and done with before the next one's travel.
+        load, whole = (t.agg(F.sum("n")).first()[0] or 0 for t in (units, self.table))
+        rounds = max(1, math.ceil(load / max(ROUND_SHINGLES, ROUND_SHARE * whole)))
+        found = None
+        for k in range(rounds):
+            part = units if rounds == 1 else units.where(F.pmod(F.xxhash64("rep", "lo", "hi", F.lit("round")), F.lit(rounds)) == k)
+            full = part.join(own, "doc").select("rep", "lo", "hi", "doc", "comp", "block", "sigs", "own")
+            sorted_ = full.repartition("rep", "lo", "hi").sortWithinPartitions("rep", "lo", "hi")
+            more = materialize(sorted_.mapInArrow(_within(self.num, self.den), "a bigint, b bigint").distinct(), "more")
+            found = more if found is None else found.union(more)
+            del part, full, sorted_
+            release(self.docs.sparkSession)
+        for done in (sets, dealt, written):
+            discard(done)
+        return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ any executor.  The folder is the one the cluster names in ``spark.checkpoint.dir
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,12 @@ def discard(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no table needs; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

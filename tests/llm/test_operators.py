@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshvoyage.llm import chat, components, decontam, dedup, htmltext, jaccard, langid, linededup, packing, pagemaker, urlfilter, warc
+from meshvoyage.llm import chat, components, decontam, dedup, htmltext, jaccard, langid, linededup, packing, pagemaker, storage, urlfilter, warc
 from meshvoyage.llm.queries import MARKED, RULES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, node string, a string, digest string, component string, n int"
@@ -167,6 +167,57 @@ def test_signatures_keep_the_pigeonhole():
                 assert len(np.intersect1d(one, two)), size
 
 
+def test_signatures_stay_few_in_large_tables():
+    """A band of many sets once wrote a signature for each shingle: disk beyond the limit at 6 GB."""
+    share = jaccard.Fraction(4, 5)
+    for span in jaccard.bands(share, 20_000):
+        for sets in (10, 10**6, 10**9):
+            kind, segments = jaccard.allocate(span, sets, share)
+            rows = segments + (sum(span) // 2 if kind == "deletion" else 0)
+            assert rows <= 2 * (jaccard.differing(span[1], span[1], share) + 4), (span, sets)
+
+
+def test_one_deletion_neighbourhoods_keep_the_pigeonhole():
+    """Similar sets share a signature where neighbourhoods are taken, at a threshold that takes them by cost too."""
+    r = np.random.default_rng(4)
+    assert any(jaccard.allocate(s, 10**6, jaccard.Fraction(1, 2))[0] == "deletion" for s in jaccard.bands(jaccard.Fraction(1, 2), 400))
+    for share in (jaccard.Fraction(4, 5), jaccard.Fraction(1, 2)):
+        plans = [(k, s, "deletion", (jaccard.differing(s[1], s[1], share) + 2) // 2) for k, s in enumerate(jaccard.bands(share, 400))]
+        for size in (1, 2, 4, 5, 7, 9, 20, 33, 64, 150, 300):
+            for _ in range(20):
+                a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+                b = np.unique(np.concatenate([a[int(r.integers(0, size // 4 + 1)) :], r.integers(0, 2**63, int(r.integers(0, size // 4 + 1))).astype(np.uint64)]))
+                if share.denominator * len(np.intersect1d(a, b)) >= share.numerator * len(np.union1d(a, b)):
+                    one, two = (np.concatenate(jaccard._signatures(x, plans, share)) for x in (a, b))
+                    assert len(np.intersect1d(one, two)), size
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_jaccard_join_in_rounds(spark, monkeypatch, tmp_path, threshold):
+    """Blocks that travel in many rounds find every link, and little stays on disk."""
+    for name, value in (("BLOCK", 8), ("ROUND_SHINGLES", 1), ("ROUND_SHARE", 0.5)):
+        monkeypatch.setattr(jaccard, name, value)
+    r, rows = random.Random(8), []
+    for family in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for k in range(9):  # a head that all have, and bodies of two kinds
+            body = base[:] if k % 2 else base[:25] + [f"v{family}"] * 3 + [f"u{r.randrange(10**6)}" for _ in range(32)]
+            body[r.randrange(60)] = f"x{k}"
+            rows.append((family * 9 + k, " ".join(["common"] * 4 + ["a b c d e f g h"] + body), "en"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, _ in rows for w in [t.split()]}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(frame(spark, rows), threshold=threshold).collect()}
+    assert got == {i: (len(s), comp[i]) for i, s in sets.items()}
+    kinds = [p.name.split("-")[0] for p in (tmp_path / "llm").iterdir()]
+    assert kinds.count("more") > 1 and not {"own", "stars", "candidates", "pairs", "units"} & set(kinds)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (None, 3), (200, 100)]
     got = dict(tuple(x) for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
