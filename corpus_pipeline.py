@@ -2,7 +2,7 @@
 
 Each stage takes the documents that its predecessor kept, and all but the last return
 the columns of ``documents``.  Every stage's result is written as Parquet and read
-again by the next.
+again by the next, and deleted after it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meshvoyage.llm import decontam, dedup, jaccard, langid, packing
 from meshvoyage.llm.queries import tokenizer_path
-from meshvoyage.llm.storage import materialize
+from meshvoyage.llm.storage import discard, materialize, release
 
 #: A document whose likeliest language has less than this is no text in a known language.
 LEAST_SCORE = 0.5
@@ -60,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the stages make of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        release(spark)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

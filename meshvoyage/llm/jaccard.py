@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bloom import hits, members, mix, opened, size_for
 from .components import connected_components
-from .storage import discard, materialize, release, slices
+from .storage import discard, forget, materialize, release, slices
 
 SPREAD = 2.0  # largest size of a band over its smallest
 SLACK = 0.06  # more segments than needed, by this share of them and three
@@ -232,6 +232,7 @@ def _starred(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _group(batches):
     """Stars of the signatures that two or more documents have: (signature, representative, member)."""
+    forget()
     sigs, docs, local = [], [], []
     for batch in batches:
         for s, d, r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -507,13 +508,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     ignored; an empty table gives no rows.
     """
     join = _Join(docs, id_col, text_col, words, threshold)
-    comp = join.components()
-    joined = join.table.join(comp, F.col("id") == F.col("node"), "left")
+    joined = join.table.join(join.components(), F.col("id") == F.col("node"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each component of near duplicates."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = materialize(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    join = _Join(docs, id_col, text_col, words, threshold)
+    gone = materialize(join.components().where("component <> node").select(F.col("node").alias("_gone")), "gone")
+    for done in (join.table, join.firsts):
+        discard(done)
+    release(docs.sparkSession)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

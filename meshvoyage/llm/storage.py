@@ -43,6 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, keep: str | None
     for batch in batches:
         for x in range(0, batch.num_rows, rows):
             yield batch.slice(x, rows)
+    batch = None
+    forget(keep)  # a worker that waits for its next task holds little
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from meshvoyage.llm import storage
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -46,3 +47,16 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_what_no_stage_reads_any_more_goes(spark, tmp_path, monkeypatch):
+    """The join of near copies leaves no sets, and each stage's result goes after the next one's."""
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{shared}")
+    text = " ".join(f"the word w{k} of" for k in range(60))
+    rows = [(i, text + " end" * (i % 3), "en", "s", 1) for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", "nothing of this is there")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {6}
+    left = {p.name.split("-")[0] for p in (shared / "llm").iterdir()}
+    assert "decontaminate" in left and not left & {"language_id", "exact_dedup", "near_dedup", "sets", "firsts", "own", "stars", "candidates", "pairs"}
