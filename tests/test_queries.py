@@ -1,9 +1,12 @@
 """Queries and the operators under them on rows that the smallest tables lack."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from meshvoyage.functions import units
+from meshvoyage.operators import paths
 from meshvoyage.plans import queries
 
 
@@ -16,3 +19,21 @@ def test_units_round_halves_as_their_sql_does(spark, tmp_path):
     assert sorted(map(tuple, queries.m37_units(spark, str(tmp_path)).collect())) == sorted(expected)
     assert [r.sig3 for r in queries.m37_units(spark, str(tmp_path)).orderBy("o_orderkey").collect()] == [199000.0, 65500.0, 9730.0, 1230.0]
     assert rows.select(units.round_sigfig(F.lit(198500.0), 3)).first()[0] == 198000.0
+
+
+def test_path_costs_need_no_hops_and_equal_those_of_paths(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(str(a), str(b), r.choice([0.0, 0.5, r.random()]), 0.25) for a in range(40) for b in r.sample(range(40), 3)]
+    edges = spark.createDataFrame([*rows, ("x", "y", 1.0, 1.0), ("0", "z", float("inf"), 1.0)], "src string, dst string, t1 double, t2 double")
+    sources = spark.createDataFrame([(s,) for s in ("0", "7", "13", "x", "nowhere")], "source string")
+    targets = spark.createDataFrame([(t,) for t in ("0", "3", "29", "y", "z", "nowhere")], "target string")
+    hops = paths.shortest_paths(edges, sources.crossJoin(targets)).groupBy("source", "target").agg(F.sum("cost").alias("cost"))
+    expected = {(h.source, h.target): pytest.approx(h.cost, rel=1e-12) for h in hops.collect()}
+    assert len(expected) > 8
+    monkeypatch.setattr(paths, "shortest_paths", None)
+    costs = lambda: {(c.source, c.target): c.cost for c in paths.path_costs(edges, sources, targets).collect()}
+    assert costs() == expected
+    monkeypatch.setattr(paths, "HELD_COSTS", 1)
+    assert costs() == expected
+    monkeypatch.setattr(paths, "COST_EDGES", 1)
+    assert costs() == expected
