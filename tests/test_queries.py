@@ -37,3 +37,10 @@ def test_path_costs_need_no_hops_and_equal_those_of_paths(spark, monkeypatch):
     assert costs() == expected
     monkeypatch.setattr(paths, "COST_EDGES", 1)
     assert costs() == expected
+
+
+def test_all_tasks_share_the_pairs_of_waypoints(spark):
+    points = spark.range(40).coalesce(1).select(F.concat(F.lit("P"), "id").alias("Name"), F.col("id").cast("double").alias("Lat"), F.lit(0.0).alias("Long"), F.lit("X").alias("Source"), F.when(F.col("id") < 10, "X").alias("Destination"), F.lit("0").alias("cell"))
+    pairs = paths.route_pairs(points)
+    sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(s["count"] for s in sizes) == 40 * 10 - 10 and len(sizes) == 4
