@@ -7,6 +7,7 @@ holds all cells against all cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,17 +181,30 @@ def adjust(points: DataFrame, cells: DataFrame, name: str = "Name", most_degrees
 
     The way leads straight to that cell's centre and ends a thousandth of its inner
     part beyond the border, as far as a circle of 64 sides reaches.  A point whose way
-    outside is longer than ``most_degrees`` stays.  Only cells in the tiles around a
-    point, as wide as that limit, are looked at.
+    outside is longer than ``most_degrees`` stays.  Cells are looked for in rounds: those
+    that hold a point, then those within a tile of it, then twice as far each time; a
+    point is done when its nearest cell lies within the reach of its round.
     """
-    tile = most_degrees + 1e-9
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = points.withColumns({"_tx": F.explode(F.transform(around, lambda d: F.floor(F.col("Long") / tile) + d))}).withColumn("_ty", F.explode(F.transform(around, lambda d: F.floor(F.col("Lat") / tile) + d)))
-    span = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - F.col(d)) / tile), F.floor((F.col(c) + F.col(d)) / tile)))
-    boxes = cells.where(~F.col("inaccessible")).select("id", "cx", "cy", "dcx", "dcy").withColumn("_tx", span("cx", "dcx")).withColumn("_ty", span("cy", "dcy"))
+    boxes = written(cells.where(~F.col("inaccessible")).select("id", "cx", "cy", "dcx", "dcy"), "boxes")
+    size = boxes.agg(F.max(F.greatest("dcx", "dcy") * 2)).first()[0] or most_degrees
     gap = lambda p, c, d: F.greatest(F.abs(F.col(p) - F.col(c)) - F.col(d), F.lit(0.0))
     away = F.sqrt(gap("Long", "cx", "dcx") * gap("Long", "cx", "dcx") + gap("Lat", "cy", "dcy") * gap("Lat", "cy", "dcy"))
-    best = near.join(boxes, ["_tx", "_ty"]).groupBy(name).agg(F.min_by(F.struct("cx", "cy", "dcx", "dcy"), F.struct(away, F.col("id"))).alias("_c"))
+    tiles = lambda a, b, tile: F.explode(F.sequence(F.floor(a / tile - 1e-9), F.floor(b / tile + 1e-9)))
+    left, found, reach = points.select(name, "Long", "Lat"), [], 0.0
+    while True:
+        tile = max(size, reach)
+        near = left.withColumn("_tx", tiles(F.col("Long") - reach, F.col("Long") + reach, tile)).withColumn("_ty", tiles(F.col("Lat") - reach, F.col("Lat") + reach, tile))
+        held = boxes.withColumn("_tx", tiles(F.col("cx") - F.col("dcx"), F.col("cx") + F.col("dcx"), tile)).withColumn("_ty", tiles(F.col("cy") - F.col("dcy"), F.col("cy") + F.col("dcy"), tile))
+        both = near.join(held, ["_tx", "_ty"]).withColumn("_away", away).where(F.col("_away") <= reach)
+        best = both.groupBy(name).agg(F.min_by(F.struct("cx", "cy", "dcx", "dcy"), F.struct("_away", "id")).alias("_c"))
+        found.append(written(best, "nearest"))
+        if reach >= most_degrees:
+            break
+        left = written(left.join(found[-1], name, "left_anti"), "afar")
+        if left.isEmpty():
+            break
+        reach = min(max(reach * 2, size), most_degrees * 1.000001)  # a cell further off is further to go to
+    best = reduce(DataFrame.unionByName, found)
     dx, dy = F.col("_c.cx") - F.col("Long"), F.col("_c.cy") - F.col("Lat")
     share = lambda d, half: F.when(F.abs(d) > half, 1.0 - half / F.abs(d)).otherwise(F.lit(0.0))
     enter = F.greatest(share(dx, F.col("_c.dcx")), share(dy, F.col("_c.dcy")))

@@ -1,5 +1,6 @@
 """Queries and the operators under them on rows that the smallest tables lack."""
 
+import math
 import random
 
 import pytest
@@ -79,3 +80,32 @@ def test_pieces_of_drawn_routes_are_not_moved(spark, tmp_path):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and not {"Join", "Expand"} & set(plan.replace("'", " ").split())
         assert "Window" not in plan[: plan.index("MapInArrow")]
+
+
+def test_points_meet_only_cells_near_them(spark):
+    # Rows of cells with closed ones between; every point against every open cell, by hand.
+    k = F.col("id").cast("int")
+    cells = spark.range(200).select(F.col("id").cast("string").alias("id")).withColumns({"cx": k % 20 * 0.5, "cy": F.floor(k / 20) * 0.5, "dcx": F.lit(0.25), "dcy": F.lit(0.25), "inaccessible": (k % 7 != 1) | (k > 120)})
+    r = random.Random(4)
+    points = [(f"P{i}", r.choice([r.uniform(-7.0, 12.0), r.randrange(20) / 4]), r.choice([r.uniform(-7.0, 17.0), r.randrange(40) / 4])) for i in range(300)]
+    open_ = [c for c in cells.collect() if not c.inaccessible]
+    nearest = lambda y, x: min(open_, key=lambda c: (math.hypot(max(abs(x - c.cx) - c.dcx, 0.0), max(abs(y - c.cy) - c.dcy, 0.0)), c.id))
+    moved = {p.Name: p for p in mesh.adjust(spark.createDataFrame(points, "Name string, Lat double, Long double"), cells).collect()}
+    stayed = 0
+    for name, lat, lon in points:
+        c, to = nearest(lat, lon), moved[name]
+        if (to.Lat, to.Long) == (lat, lon):
+            share = max([0.0, *(1 - c.dcx / abs(d) for d in (c.cx - lon, c.cy - lat) if abs(d) > c.dcx)])
+            assert max(abs(lon - c.cx), abs(lat - c.cy)) < 0.25 or share * math.hypot(c.cx - lon, c.cy - lat) > 5
+            stayed += 1
+        else:
+            assert abs(to.Long - c.cx) < c.dcx and abs(to.Lat - c.cy) < c.dcy
+    assert len(moved) == 300 and 20 < stayed < 280
+
+
+def test_adjusting_meets_few_cells_a_point(spark, monkeypatch):
+    kept, tables = [], mesh.written
+    monkeypatch.setattr(mesh, "written", lambda df, name: kept.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or tables(df, name))
+    cells = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 10 * 0.1).alias("cx"), (F.floor(F.col("id") / 10) * 0.1).alias("cy"), F.lit(0.05).alias("dcx"), F.lit(0.05).alias("dcy"), F.lit(False).alias("inaccessible"))
+    mesh.adjust(spark.createDataFrame([("A", 0.42, 0.42)], "Name string, Lat double, Long double"), cells)
+    assert [n for n, _ in kept] == ["boxes", "nearest", "afar"]  # one round, by tiles as large as a cell
