@@ -17,6 +17,8 @@ from ..tables import written
 
 #: Coordinates are compared in units of 1e-9 degrees.
 GRAIN = 1e9
+#: About so many points and cells meet in a task: larger tables make more tasks, not larger ones.
+ROWS_PER_TASK = 50_000
 
 
 def _key(x: Column) -> Column:
@@ -123,27 +125,34 @@ def split_around_inaccessible(cells: DataFrame, most_rounds: int = 16) -> DataFr
 def split_around_points(cells: DataFrame, points: DataFrame, width: float, height: float, depth: int) -> DataFrame:
     """Cells that hold a point, quartered until they are ``depth`` halvings below the mesh's cell size."""
     for _ in range(depth):
-        held = located_all(points, cells).select("id").distinct().withColumn("_held", F.lit(True))
+        held = _dealt(located_all(points, cells.select("id", "cx", "cy", "dcx", "dcy")).select("id"), cells.count(), "id").distinct().withColumn("_held", F.lit(True))
         large = (F.col("dcx") * 2 > width / 2**depth * 1.000001) | (F.col("dcy") * 2 > height / 2**depth * 1.000001)
-        marked = cells.join(held, "id", "left").select(*cells.columns, (F.coalesce("_held", F.lit(False)) & large).alias("_split"))
+        marked = _dealt(cells, cells.count(), "id").join(held, "id", "left").select(*cells.columns, (F.coalesce("_held", F.lit(False)) & large).alias("_split"))
         cells = written(quad_split(marked, F.col("_split")).drop("_split"), "split")
     return cells
 
 
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as ``rows`` need; left alone where the session's own number does."""
+    tasks = -(-rows // ROWS_PER_TASK)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def tile_size(cells: DataFrame) -> Column:
     """The largest width or height of the cells, one number: a literal, so that tiles are plain arithmetic in the plan."""
     return F.lit(cells.agg(F.max(F.greatest("dcx", "dcy") * 2)).first()[0]).cast("double")
 
 
-def located_all(points: DataFrame, cells: DataFrame, x: str = "Long", y: str = "Lat") -> DataFrame:
-    """Every pair of a point and a cell that holds it, borders included."""
+def located_all(points: DataFrame, cells: DataFrame, x: str = "Long", y: str = "Lat", rows: int | None = None) -> DataFrame:
+    """Every pair of a point and a cell that holds it, borders included; ``rows`` is the number of both, if known."""
     tile = tile_size(cells)
+    rows = points.count() + cells.count() if rows is None else rows
     # A little beyond the borders, so that rounding parts no point on a border from its cells.
     span = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - F.col(d)) / tile - 1e-9), F.floor((F.col(c) + F.col(d)) / tile + 1e-9)))
     tiled = cells.withColumn("_tx", span("cx", "dcx")).withColumn("_ty", span("cy", "dcy"))
     at = points.withColumns({"_tx": F.floor(F.col(x) / tile), "_ty": F.floor(F.col(y) / tile)})
     inside = (F.abs(F.col(x) - F.col("cx")) <= F.col("dcx") + 1e-12) & (F.abs(F.col(y) - F.col("cy")) <= F.col("dcy") + 1e-12)
-    return at.join(tiled, ["_tx", "_ty"]).where(inside).drop("_tx", "_ty")
+    return _dealt(at, rows, "_tx", "_ty").join(_dealt(tiled, rows, "_tx", "_ty"), ["_tx", "_ty"]).where(inside).drop("_tx", "_ty")
 
 
 def locate(points: DataFrame, cells: DataFrame, name: str = "Name", order: str = "id") -> DataFrame:
@@ -152,7 +161,9 @@ def locate(points: DataFrame, cells: DataFrame, name: str = "Name", order: str =
     On a border the first two cells in mesh order count: the second is taken if it
     lies east, north-east or north of the first.
     """
-    found = located_all(points, cells.where(~F.col("inaccessible")).select("id", "cx", "cy", "dcx", "dcy", *([order] if order != "id" else [])))
+    rows = points.count() + cells.count()
+    found = located_all(points, cells.where(~F.col("inaccessible")).select("id", "cx", "cy", "dcx", "dcy", *([order] if order != "id" else [])), rows=rows)
+    found = _dealt(found, rows, name)
     per_point = W.partitionBy(name).orderBy(F.col(order).cast("double").asc_nulls_last(), F.col(order))
     ranked = found.withColumns({"_rank": F.row_number().over(per_point)}).where("_rank <= 2")
     box = F.struct("_rank", "id", "cx", "cy", "dcx", "dcy")
@@ -191,12 +202,13 @@ def adjust(points: DataFrame, cells: DataFrame, name: str = "Name", most_degrees
     away = F.sqrt(gap("Long", "cx", "dcx") * gap("Long", "cx", "dcx") + gap("Lat", "cy", "dcy") * gap("Lat", "cy", "dcy"))
     tiles = lambda a, b, tile: F.explode(F.sequence(F.floor(a / tile - 1e-9), F.floor(b / tile + 1e-9)))
     left, found, reach = points.select(name, "Long", "Lat"), [], 0.0
+    rows = points.count() + boxes.count()
     while True:
         tile = max(size, reach)
         near = left.withColumn("_tx", tiles(F.col("Long") - reach, F.col("Long") + reach, tile)).withColumn("_ty", tiles(F.col("Lat") - reach, F.col("Lat") + reach, tile))
         held = boxes.withColumn("_tx", tiles(F.col("cx") - F.col("dcx"), F.col("cx") + F.col("dcx"), tile)).withColumn("_ty", tiles(F.col("cy") - F.col("dcy"), F.col("cy") + F.col("dcy"), tile))
-        both = near.join(held, ["_tx", "_ty"]).withColumn("_away", away).where(F.col("_away") <= reach)
-        best = both.groupBy(name).agg(F.min_by(F.struct("cx", "cy", "dcx", "dcy"), F.struct("_away", "id")).alias("_c"))
+        both = _dealt(near, rows, "_tx", "_ty").join(_dealt(held, rows, "_tx", "_ty"), ["_tx", "_ty"]).withColumn("_away", away).where(F.col("_away") <= reach)
+        best = _dealt(both, rows, name).groupBy(name).agg(F.min_by(F.struct("cx", "cy", "dcx", "dcy"), F.struct("_away", "id")).alias("_c"))
         found.append(written(best, "nearest"))
         if reach >= most_degrees:
             break

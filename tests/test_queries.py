@@ -109,3 +109,15 @@ def test_adjusting_meets_few_cells_a_point(spark, monkeypatch):
     cells = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 10 * 0.1).alias("cx"), (F.floor(F.col("id") / 10) * 0.1).alias("cy"), F.lit(0.05).alias("dcx"), F.lit(0.05).alias("dcy"), F.lit(False).alias("inaccessible"))
     mesh.adjust(spark.createDataFrame([("A", 0.42, 0.42)], "Name string, Lat double, Long double"), cells)
     assert [n for n, _ in kept] == ["boxes", "nearest", "afar"]  # one round, by tiles as large as a cell
+
+
+def test_larger_tables_make_more_tasks_not_larger_ones(spark, monkeypatch, tmp_path):
+    spark.range(1200).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(300).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    made = (queries.j01_locate, more_queries.j02_border_points, more_queries.u06_split_around_points, more_queries.j03_adjust)
+    rows = lambda q: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
+    expected = [rows(q) for q in made]
+    monkeypatch.setattr(mesh, "ROWS_PER_TASK", 100)
+    assert [rows(q) for q in made] == expected and all(expected)
+    plans = [q(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString() for q in made[:2]]
+    assert all(p.count("RepartitionByExpression [_tx") == 2 and p.count("RepartitionByExpression [Name") == 1 for p in plans)
